@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from veclume.llm.language import identify_languages
 from veclume.llm.line_dedup import repeated_lines
+from veclume.llm.mixing import mixture
 from veclume.llm.near_dedup import near_duplicates
+from veclume.llm.packing import pack_documents
 from veclume.llm.shared import table
+from veclume.llm.topk import top_k
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,16 +23,31 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(table(spark, sf_dir, "documents"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "documents")).drop("h")
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_near_duplicates,
         op2_language,
+        op4_mixture,
+        op5_packing,
         op6_repeated_lines,
+        op8_top_k,
     )
 }
 
@@ -56,5 +74,31 @@ WITH l AS (
 SELECT doc_id, line_no, fd AS keep_doc_id, fl AS keep_line_no, CAST(0 AS INTEGER) AS edits FROM f WHERE doc_id <> fd OR line_no <> fl
 UNION ALL
 SELECT doc_id, line_no, kd, kl, e FROM p WHERE r = 1
+""",
+    "op8_top_k": r"""
+WITH d AS (
+  SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE doc_id IS NOT NULL
+), n AS (
+  SELECT doc_id, w, len(list_filter(w, lambda x: x <> '')) AS n FROM d
+), s AS (
+  SELECT count(*) AS total, avg(n) AS mean FROM n
+), q AS (
+  SELECT item_id, term, count(*) AS qf FROM (
+    SELECT item_id, unnest(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS term FROM benchmark)
+  WHERE term <> '' GROUP BY ALL
+), p AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM n)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), f AS (
+  SELECT term, ln(1.0::DOUBLE + (total - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM p, s GROUP BY term, total
+), i AS (
+  SELECT doc_id, term, CAST(floor(idf * (tf * 2.2::DOUBLE) / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * n / mean)) * 1000.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS v
+  FROM p JOIN f USING (term), s
+), r AS (
+  SELECT item_id, doc_id, CAST(sum(qf * v) AS BIGINT) AS score FROM q JOIN i USING (term) GROUP BY ALL
+), o AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0
+)
+SELECT * FROM o WHERE rank <= 10
 """,
 }
