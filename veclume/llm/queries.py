@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from veclume.llm.language import identify_languages
+from veclume.llm.licenses import scan
 from veclume.llm.line_dedup import repeated_lines
 from veclume.llm.mixing import mixture
 from veclume.llm.near_dedup import near_duplicates
 from veclume.llm.packing import pack_documents
+from veclume.llm.preferences import format_preferences, spans_text, stale_reply_pairs
+from veclume.llm.quantised import nearest
 from veclume.llm.shared import table
+from veclume.llm.tokens import count_tokens
 from veclume.llm.topk import top_k
 
 
@@ -23,6 +27,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = stale_reply_pairs(table(spark, sf_dir, "conversations"))
+    return format_preferences(pairs).withColumns({c: spans_text(c) for c in ("chosen_spans", "rejected_spans")})
+
+
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
@@ -35,23 +44,75 @@ def op6_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(table(spark, sf_dir, "documents")).drop("h")
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, so that every distinct text is encoded."""
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_near_duplicates,
         op2_language,
+        op3_preferences,
         op4_mixture,
         op5_packing,
         op6_repeated_lines,
+        op7_nearest,
         op8_top_k,
+        op9_licenses,
+        op10_token_counts,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_preferences": r"""
+WITH c AS (
+  SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS ts
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), l AS (
+  SELECT *, list_max(list_filter(range(1, len(ts) + 1), lambda i: ts[i].r IS NOT DISTINCT FROM 'assistant')) AS last,
+    list_filter(ts, lambda x: x.r IS NOT DISTINCT FROM 'assistant')[1].t AS early
+  FROM c
+), p AS (
+  SELECT conv_id, ts[1:last] AS a, list_append(ts[1:last - 1], struct_pack(r := 'assistant', t := CASE
+    WHEN early IS DISTINCT FROM ts[last].t THEN early WHEN last > 1 THEN ts[last - 1].t ELSE '' END)) AS b
+  FROM l WHERE last IS NOT NULL
+), n AS (
+  SELECT *, list_min(list_filter(range(0, least(len(a), len(b)) + 1), lambda i: i = least(len(a), len(b)) OR a[i + 1] IS DISTINCT FROM b[i + 1])) AS n FROM p
+), t AS (
+  SELECT conv_id, n, a[1:n] AS s, a[n + 1:] AS c, b[n + 1:] AS r FROM n WHERE n < greatest(len(a), len(b))
+), h AS (
+  SELECT *,
+    list_transform(s, lambda x: '<|im_start|>' || coalesce(x.r, 'user') || chr(10) || coalesce(x.t, '') || '<|im_end|>' || chr(10)) AS sp,
+    list_transform(c, lambda x: '<|im_start|>' || coalesce(x.r, 'user') || chr(10) || coalesce(x.t, '') || '<|im_end|>' || chr(10)) AS cp,
+    list_transform(r, lambda x: '<|im_start|>' || coalesce(x.r, 'user') || chr(10) || coalesce(x.t, '') || '<|im_end|>' || chr(10)) AS rp
+  FROM t
+), m AS (
+  SELECT *,
+    list_transform(cp, lambda x, i: length(array_to_string(cp[1:i - 1], ''))) AS ca,
+    list_transform(rp, lambda x, i: length(array_to_string(rp[1:i - 1], ''))) AS ra
+  FROM h
+)
+SELECT conv_id AS pair_id, CAST(n AS INTEGER) AS prompt_turns, coalesce(array_to_string(sp, ''), '') AS prompt, coalesce(array_to_string(cp, ''), '') AS chosen, coalesce(array_to_string(rp, ''), '') AS rejected,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i].r IS NOT DISTINCT FROM 'assistant'),
+    lambda i: (ca[i] + 22) || ':' || (ca[i] + length(cp[i]) - 1)), ','), '') AS chosen_spans,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i].r IS NOT DISTINCT FROM 'assistant'),
+    lambda i: (ra[i] + 22) || ':' || (ra[i] + length(rp[i]) - 1)), ','), '') AS rejected_spans
+FROM m
+""",
     # levenshtein() of the oracle counts bytes, as the operator does
     "op6_repeated_lines": r"""
 WITH l AS (
