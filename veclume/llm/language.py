@@ -21,8 +21,6 @@ stays null. With no labelled text at all every document is rejected.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -110,7 +108,7 @@ class Automata:
             base += len(nexts)
         table = np.concatenate(rows)
         self.table = table.ravel().astype(np.int32 if table.max() < 1 << 31 else np.int64)
-        self.classes = np.empty(0x10000, np.uint16)
+        self.classes = np.empty(0x10000, np.uint8 if width < 256 else np.uint16)
         self.classes[:] = [self._code(chr(c)) if not 0xD800 <= c < 0xE000 else 2 for c in range(0x10000)]
         self.space = self.codes[" "]
 
@@ -122,7 +120,7 @@ class Automata:
         points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
         heads = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         at = heads[offsets]
-        codes = self.classes[np.minimum(points, 0xFFFF)]
+        codes = self.classes[np.minimum(points, 0xFFFF)]  # one byte where the alphabet allows
         for far in np.flatnonzero(points > 0xFFFF):
             codes[far] = self._code(chr(points[far]))
         docs = len(at) - 1
@@ -214,7 +212,8 @@ def identifier(learnt: tuple[tuple[str, str], ...], judge_chars: int = 100, max_
         return _READY[learnt].identify(texts, judge_chars, max_bits)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, TYPE)
+    # else a filter on the result would run it once more
+    return F.arrow_udf(run, TYPE).asNondeterministic()
 
 
 def identify_languages(docs: DataFrame, labelled: DataFrame | None = None, judge_chars: int = 100, max_bits: float = 4.0, **bounds) -> DataFrame:
