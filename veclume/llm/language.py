@@ -26,41 +26,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veclume.llm.shared import fresh, pieces, utf8
+from veclume.llm.shared import fresh, pieces, text_batches, utf8
 
 _READY: dict[tuple, Automata] = {}
 _TILE = 64
+#: Bytes of text parsed side by side, and documents too few for that.
+_SIDE, _FEW = 12 << 20, 16
 TYPE = "struct<language string, phrases int, chars int, bits double, accepted boolean>"
 
 
-def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
-    """Transitions of the automaton of all factors of ``codes``; state 0 is the empty one."""
-    nexts: list[dict[int, int]] = [{}]
+def suffix_automaton(codes: list[int], width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The automaton of all factors of ``codes``, which are below ``width``: the number of states, and its transitions as ``state * width + code`` and next state. State 0 is the empty factor."""
+    nexts: dict[int, int] = {}
     length, link, last = [0], [-1], 0
     for c in codes:
-        now = len(nexts)
-        nexts.append({})
+        now = len(length)
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and c not in nexts[p]:
-            nexts[p][c] = now
+        while p >= 0 and p * width + c not in nexts:
+            nexts[p * width + c] = now
             p = link[p]
         if p >= 0:
-            q = nexts[p][c]
+            q = nexts[p * width + c]
             if length[p] + 1 == length[q]:
                 link[now] = q
             else:
-                copy = len(nexts)
-                nexts.append(dict(nexts[q]))
+                copy = len(length)
+                for k in range(width):
+                    t = nexts.get(q * width + k)
+                    if t is not None:
+                        nexts[copy * width + k] = t
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p >= 0 and nexts[p].get(c) == q:
-                    nexts[p][c] = copy
+                while p >= 0 and nexts.get(p * width + c) == q:
+                    nexts[p * width + c] = copy
                     p = link[p]
                 link[q] = link[now] = copy
         last = now
-    return nexts
+    return len(length), np.fromiter(nexts.keys(), np.int64, len(nexts)), np.fromiter(nexts.values(), np.int64, len(nexts))
 
 
 def letters(text: str) -> str:
@@ -89,25 +93,23 @@ class Automata:
         alphabet = sorted(set("".join(parsed)) | {" "})
         self.codes = {c: k + 2 for k, c in enumerate(alphabet)}  # 0 ends a document, 1 is any other letter
         width = self.width = len(alphabet) + 2
-        rows, self.roots = [np.zeros((1, width), np.int64)], []
+        kind = np.int32 if (2 * sum(self.lengths) + 8) * width * 4 < 1 << 31 else np.int64
+        rows, self.roots = [np.zeros(width, kind)], []
         base = 1
         for x in parsed:
-            nexts = suffix_automaton([self.codes[c] for c in x])
-            to = np.full((len(nexts), width), -1, np.int64)
-            for s, row in enumerate(nexts):
-                for c, t in row.items():
-                    to[s, c] = t
-            root = to[0].copy()
-            missed = np.where(root >= 0, (root + base) * width * 4 + 1, base * width * 4 + 2)
-            full = np.where(to >= 0, (to + base) * width * 4, missed[None, :])
-            full[0] = np.where(root >= 0, (root + base) * width * 4, base * width * 4 + 1)
-            full[:, 0] = 1  # the phrase that was begun
-            full[0, 0] = 0
+            states, at, to = suffix_automaton([self.codes[c] for c in x], width)
+            root = np.full(width, -1, np.int64)
+            root[at[at < width]] = to[at < width]
+            missed = np.where(root >= 0, (root + base) * width * 4 + 1, base * width * 4 + 2).astype(kind)
+            full = np.tile(missed, states)
+            full[at] = (to + base) * width * 4
+            full[:width] = np.where(root >= 0, (root + base) * width * 4, base * width * 4 + 1)
+            full[::width] = 1  # the phrase that was begun
+            full[0] = 0
             rows.append(full)
             self.roots.append(base * width)
-            base += len(nexts)
-        table = np.concatenate(rows)
-        self.table = table.ravel().astype(np.int32 if table.max() < 1 << 31 else np.int64)
+            base += states
+        self.table = np.concatenate(rows)
         self.classes = np.empty(0x10000, np.uint8 if width < 256 else np.uint16)
         self.classes[:] = [self._code(chr(c)) if not 0xD800 <= c < 0xE000 else 2 for c in range(0x10000)]
         self.space = self.codes[" "]
@@ -136,18 +138,17 @@ class Automata:
         return codes[keep], np.diff(sizes)
 
     def phrases(self, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases of each document in each language, (languages, documents)."""
+        """Phrases of each document in each language, (languages, documents). ``codes`` end in a 0 of their own."""
         docs = len(sizes)
         order = np.argsort(-sizes, kind="stable")
         long = sizes[order]
         start = np.concatenate([[0], np.cumsum(sizes)])[:-1][order]
-        codes = np.concatenate([codes, np.zeros(1, codes.dtype)])
         state = np.repeat(np.array(self.roots, self.table.dtype)[:, None], docs, 1)
         total = np.zeros((len(self.roots), docs), np.int32)
         at, steps = 0, np.arange(_TILE)
         while True:
             live = int(np.searchsorted(-long, -at, side="right"))  # documents with at characters or more: their end is a step too
-            if not live:
+            if live <= _FEW:
                 break
             state, where = state[:, :live], start[:live, None] + at + steps
             beyond = (at + steps)[None, :] >= long[:live, None]
@@ -159,18 +160,33 @@ class Automata:
                 count += v & 3
                 state = v >> 2
             at += _TILE
+        # the last few documents are too narrow for steps side by side
+        table = memoryview(self.table)
+        for d in range(live):
+            rest = codes[start[d] + at : start[d] + long[d]].tolist()
+            for lang in range(len(self.roots)):
+                s, n = int(state[lang, d]), 0
+                for c in rest:
+                    v = table[s + c]
+                    n += v & 3
+                    s = v >> 2
+                total[lang, d] += n + (table[s] & 3)
         out = np.empty_like(total)
         out[:, order] = total
         return out
 
     def identify(self, texts: pa.Array, judge_chars: int, max_bits: float) -> pa.StructArray:
         raw, offsets = utf8(texts)
-        parts = [self.encode(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in pieces(offsets)]
-        n = len(texts)
-        sizes = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-        codes = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint16)
+        n, counted, found = len(texts), [np.zeros(0, np.int64)], [np.zeros((len(self.names), 0), np.int32)]
+        for lo, hi in pieces(offsets, _SIDE):
+            at = offsets[lo : hi + 1]
+            parts = [self.encode(raw[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in pieces(at - at[0])]
+            counted += [p[1] for p in parts]
+            if self.names:
+                found.append(self.phrases(np.concatenate([*(p[0] for p in parts), np.zeros(1, self.classes.dtype)]), np.concatenate([p[1] for p in parts])))
+        sizes = np.concatenate(counted)
         if self.names and n:
-            found = self.phrases(codes, sizes)
+            found = np.concatenate(found, axis=1)
             cost = found * np.log2(self.lengths)[:, None]
             best = cost.argmin(axis=0)
             counts = found[best, np.arange(n)]
@@ -186,16 +202,16 @@ class Automata:
         )
 
 
-def learn(labelled: DataFrame, label: str = "lang", text: str = "text", train_docs: int = 64, train_chars: int = 20_000) -> tuple[tuple[str, str], ...]:
-    """The labelled text of each language, at most ``train_chars`` characters of the ``train_docs`` documents whose hashes are smallest.
+def learn(labelled: DataFrame, label: str = "lang", text: str = "text", train_docs: int = 64, train_chars: int = 20_000, doc_chars: int = 2_000) -> tuple[tuple[str, str], ...]:
+    """The labelled text of each language: at most ``train_chars`` characters of the ``train_docs`` documents whose hashes are smallest, and of each ``doc_chars``, so that no long one makes up the sample.
 
-    Both are bounds of the classifier's labelled sample; nothing else here is
+    These are the bounds of the classifier's labelled sample; nothing else here is
     bounded. The set of labels is taken to be small.
     """
     some = labelled.select(F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text")).filter("label IS NOT NULL AND text IS NOT NULL").withColumn("h", F.xxhash64("text"))
     ranked = some.select("label", "h").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h"))).filter(F.col("r") <= train_docs)
     chosen = ranked.select("label", "h").distinct()
-    rows = some.join(F.broadcast(chosen), ["label", "h"], "left_semi").groupBy("label", "h").agg(F.min(F.substring("text", 1, train_chars)).alias("text")).orderBy("label", "h").collect()
+    rows = some.join(F.broadcast(chosen), ["label", "h"], "left_semi").groupBy("label", "h").agg(F.min(F.substring("text", 1, doc_chars)).alias("text")).orderBy("label", "h").collect()
     learnt: dict[str, str] = {}
     for r in rows:
         learnt[r.label] = (learnt.get(r.label, "") + " " + r.text)[: train_chars + 1]
@@ -218,12 +234,14 @@ def identifier(learnt: tuple[tuple[str, str], ...], judge_chars: int = 100, max_
 
 def identify_languages(docs: DataFrame, labelled: DataFrame | None = None, judge_chars: int = 100, max_bits: float = 4.0, **bounds) -> DataFrame:
     """(doc_id, language, phrases, chars, bits, accepted), a row for every document."""
+    text_batches(docs.sparkSession)
     of = identifier(learn(docs if labelled is None else labelled, **bounds), judge_chars, max_bits)
     return docs.select("doc_id", of(F.col("text").cast("string")).alias("r")).select("doc_id", "r.*")
 
 
 def keep_identified(docs: DataFrame, labelled: DataFrame | None = None, judge_chars: int = 100, max_bits: float = 4.0, **bounds) -> DataFrame:
     """The documents that are accepted, with ``lang`` set to the language found."""
+    text_batches(docs.sparkSession)
     of = identifier(learn(docs if labelled is None else labelled, **bounds), judge_chars, max_bits)
     found = fresh(docs.columns, "found")
     marked = docs.withColumn(found, of(F.col("text").cast("string"))).filter(F.col(f"{found}.accepted"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veclume.llm.near_dedup import shingles
-from veclume.llm.shared import pieces, utf8
+from veclume.llm.shared import pieces, text_batches, utf8
 
 #: Notices and texts in general use, by name. More can be given to ``scan``.
 TEMPLATES: dict[str, str] = {
@@ -166,6 +166,7 @@ TYPE = "doc_id bigint, license string, coverage double, matched int, start int,
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, gram: int = 3, window: int = 3, band: int = 8, least: float = 0.8) -> DataFrame:
     """(doc_id, license, coverage, matched, start, end): each place where ``least`` of a template's words are found."""
+    text_batches(docs.sparkSession)
     known = dict(TEMPLATES if templates is None else templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veclume.llm.shared import fresh, materialise
+from veclume.llm.shared import fresh, materialise, text_batches
 
 #: Lines asked for by key are found by a broadcast of their keys up to this many, by a shuffle beyond.
 BROADCAST_KEYS = 1_000_000
@@ -143,6 +143,7 @@ def repeated_lines(docs: DataFrame, edits: int = 2, min_bytes: int = 20) -> Data
     """
     if min_bytes <= 2 * edits:
         raise ValueError("lines must be longer than twice the edits")
+    text_batches(docs.sparkSession)
     index, probe = _keys(edits)
     lines = _lines(docs, min_bytes)
     keyed = lines.withColumn("b", F.col("line").cast("binary")).select(
@@ -175,6 +176,7 @@ def repeated_lines(docs: DataFrame, edits: int = 2, min_bytes: int = 20) -> Data
 
 def drop_repeated_lines(docs: DataFrame, edits: int = 2, min_bytes: int = 20) -> DataFrame:
     """``docs`` without the lines that repeat earlier ones, and without documents left blank by that. ``n_chars`` follows the text."""
+    text_batches(docs.sparkSession)
     gone, mark, text = fresh(docs.columns, "gone"), fresh(docs.columns, "mark"), fresh(docs.columns, "text")
     lists = repeated_lines(docs, edits, min_bytes).groupBy(F.col("doc_id").alias(mark)).agg(F.collect_list(F.struct("line_no", "h")).alias(gone))
 

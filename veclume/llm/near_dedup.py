@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veclume.llm.shared import fresh, materialise, mix64, pieces, utf8
+from veclume.llm.shared import fresh, materialise, mix64, pieces, text_batches, utf8
 
 U = np.uint64
 SEEDS = 128
@@ -114,6 +114,7 @@ def forest(docs: DataFrame, trees: int, depth: int, shingle: int, seed: int) ->
     if trees * depth > SEEDS:
         raise ValueError(f"trees * depth may be {SEEDS} at most")
     odd = _odd(SEEDS, seed)
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

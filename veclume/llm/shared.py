@@ -45,6 +45,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let Python see at most so many rows at once: Spark's 10,000 texts make batches of tens of megabytes, held several times over by each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def fresh(taken: list[str], base: str) -> str:
     """A column name that clashes with none of ``taken``, whatever its case."""
     low, name = {c.lower() for c in taken}, f"__{base}"

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veclume.llm.shared import materialise, new_path, partitions
+from veclume.llm.shared import materialise, new_path, partitions, text_batches
 
 TOKENIZERS = os.environ.get("VECLUME_TOKENIZERS", "/opt/tokenizers")
 #: How byte-level vocabularies without a rule of their own split text, as the published ones do.
@@ -94,6 +94,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache: str | Non
     spark = docs.sparkSession
     path = tokenizer or os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
     cache = cache or new_path(spark, "token-cache")
+    text_batches(spark)
     of = tokenizer_digest(path)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normalised().alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     # a null has no digest to meet others by; the id spreads such rows

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veclume.llm.near_dedup import shingles
-from veclume.llm.shared import materialise, utf8
+from veclume.llm.shared import materialise, text_batches, utf8
 
 _ROWS, _QUERIES = 1024, 256
 
@@ -153,6 +153,7 @@ def top_k(queries: DataFrame, docs: DataFrame, query_id: str = "item_id", query_
     The queries' words are held by the driver and each worker; the corpus isn't.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     asked = queries.select(F.col(query_id).alias("id"), words_of(query_text).alias("t")).filter("id IS NOT NULL AND t IS NOT NULL").groupBy("id").agg(F.max("t").alias("t")).orderBy("id").collect()
     bags = [Counter(r.t.split()) for r in asked]
     words = sorted(set().union(*bags)) if bags else []
