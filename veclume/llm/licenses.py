@@ -4,9 +4,9 @@ A template is a sequence of words (runs of letters and digits, lower case). The
 hashes of its runs of ``gram`` words are winnowed: of every ``window`` in a row
 the smallest is kept, so that any ``gram + window - 1`` words in a row hold a
 kept one. The kept hashes form an inverted index, hash -> (template, place). A
-document looks up every run of its words; each hit proposes a diagonal, near
-diagonals are joined, and around each the template is aligned locally with the
-document within a band. What is reported is the share of the template's words
+document looks up every run of its words; each hit proposes a diagonal, around
+which the template is aligned locally with the document within a band, unless a
+span found before accounts for the hit. What is reported is the share of the template's words
 matched in place, and the span of the document, in characters.
 
 Cases: a null, blank or wordless text matches nothing; a null doc_id is
@@ -120,9 +120,9 @@ def align(doc: list[str], template: list[str], shift: int, band: int) -> tuple[i
                 continue
             same = doc[i] == w
             s, h, b = score[d] + (2 if same else -1), hits[d] + same, start[d] if score[d] > 0 else i
-            if d + 1 < width and score[d + 1] - 1 > s:  # a word of the template is missing
+            if d + 1 < width and (score[d + 1] - 1, hits[d + 1]) > (s, h):  # a word of the template is missing
                 s, h, b = score[d + 1] - 1, hits[d + 1], start[d + 1]
-            if d and now[d - 1] - 1 > s:  # a word of the document is extra
+            if d and (now[d - 1] - 1, got[d - 1]) > (s, h):  # a word of the document is extra
                 s, h, b = now[d - 1] - 1, got[d - 1], began[d - 1]
             if s > 0:
                 now[d], got[d], began[d] = s, h, b
@@ -135,21 +135,26 @@ def align(doc: list[str], template: list[str], shift: int, band: int) -> tuple[i
 def match(text: str, index: Index, hits: list[tuple[int, int]], band: int, least: float) -> list[tuple[str, float, int, int, int]]:
     """(template, coverage, words matched, start, end) for the hits (word of the document, hash) of one text."""
     doc, where = _words(text), _spans(text)
-    shifts: dict[int, set[int]] = defaultdict(set)
+    places: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for i, h in hits:
         for t, p in index.at[h]:
-            shifts[t].add(i - p)
+            places[t].append((i - p, i))
     found = []
-    for t, some in shifts.items():
-        template, last = index.words[t], None
-        for d in sorted(some):
-            if last is not None and d - last <= band:
-                continue  # within the band of the diagonal before
-            last = d
+    for t, some in places.items():
+        template, spans, failed, left = index.words[t], [], None, list(doc)
+        for d, i in sorted(some):
+            # a span that was found accounts for its hits, and a failure for the diagonals in its band
+            if any(a <= i < b for a, b in spans) or (failed is not None and d - failed <= band):
+                continue
             lo, hi = max(0, d - band), min(len(doc), d + band + len(template))
-            n, a, b = align(doc[lo:hi], template, d - lo, band)
-            if n and n / len(template) >= least:
-                found.append((-n, -n / len(template), lo + a, lo + b, index.names[t]))
+            n, a, b = align(left[lo:hi], template, d - lo, band)
+            if n / len(template) < least:
+                failed = d
+                continue
+            a, b = lo + a, lo + b
+            spans.append((a, b))
+            left[a:b] = [""] * (b - a)
+            found.append((-n, -n / len(template), a, b, index.names[t]))
     out, starts, ends = [], [], []
     for n, share, a, b, name in sorted(set(found)):
         at = bisect_right(starts, a)
