@@ -86,7 +86,7 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosi
     few = q.limit(BROADCAST_QUERIES + 1).collect()
     if len(few) <= BROADCAST_QUERIES:
         ids = np.array([r.query_id for r in few], np.int64)
-        rows = np.array([r.v for r in few], np.float64).reshape(len(few), -1)
+        rows = np.array([r.v for r in few], np.float64).reshape(len(few), len(few[0].v) if few else 0)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

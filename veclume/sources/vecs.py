@@ -56,6 +56,8 @@ class _Reader(DataSourceReader):
 
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         kind, _ = _TYPES[self.kind]
+        if part is None:  # no files, or empty ones
+            return
         with open(part.path, "rb") as h:
             h.seek(part.start)
             dim = int(np.frombuffer(h.read(4), "<i4")[0])
