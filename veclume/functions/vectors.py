@@ -108,19 +108,6 @@ def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
 
-def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
-    """Scores of all pairs of rows, as the column tier has them."""
-    if metric == "dot":
-        return q @ x.T
-    if metric == "l2":
-        return np.sqrt(np.maximum(0.0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T))
-    if q.shape[1] == 0:
-        return np.ones((len(q), len(x)))
-    nq, nx = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
-    size = nq[:, None] * nx[None]
-    return np.where(size > 0, np.clip(q @ x.T / np.where(size > 0, size, 1.0), -1.0, 1.0), 0.0)
-
-
 def arrow_score(a: Vector, b: Vector, metric: str = "cosine") -> Column:
     """Score of two columns row by row, in the Arrow tier."""
 

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veclume.functions.vectors import DESCENDING, METRICS, literal, matrix, scores
+from veclume.functions.vectors import DESCENDING, METRICS, literal, matrix
 
 DECIMALS = 6
 #: Queries up to this many go to every task; more are cut into blocks that meet blocks of vectors by a join.
 BROADCAST_QUERIES = 10_000
-_BLOCK = 4096
+_BLOCK, _STRIP = 4096, 4096
 
 
 def best_first(metric: str, score: str = "score", ident: str = "id") -> list[Column]:
@@ -48,26 +48,81 @@ def batch_top_k(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "c
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _exact(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Scores of rows in step, in double precision."""
+    if metric == "l2":
+        return np.sqrt(((q - x) ** 2).sum(1))
+    inner = np.einsum("ij,ij->i", q, x)
+    if metric == "dot":
+        return inner
+    if not q.shape[1]:
+        return np.ones(len(q))
+    size = np.sqrt(np.einsum("ij,ij->i", q, q)) * np.sqrt(np.einsum("ij,ij->i", x, x))
+    return np.where(size > 0, np.clip(inner / np.where(size > 0, size, 1.0), -1.0, 1.0), 0.0)
+
+
+def _near(q: np.ndarray, x: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows among which are the k best of every query and all that round to the same scores.
+
+    Products in single precision pass a bar that rises as blocks go by; the bar
+    is lowered by what rounding may have cost, so nothing that counts is lost.
+    """
+    d = q.shape[1]
+    nq, nx = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
+    far = nx.max(initial=0.0)
+    if metric == "cosine":
+        q, x = (v / np.where(n > 0, n, 1.0)[:, None] for v, n in ((q, nq), (x, nx)))
+        scale, tie, less = np.ones(len(q)), np.ones(len(q)), None
+    elif metric == "dot":
+        scale, tie, less = nq * far, np.ones(len(q)), None
+    else:
+        scale, tie, less = 2 * nq * far + far * far, 2 * (nq + far), (nx * nx).astype(np.float32)
+        q = 2 * q
+    slack = ((d + 4) * 2.0**-22 * scale + 2 * 10.0**-DECIMALS * tie).astype(np.float32)
+    q, x = q.astype(np.float32), np.ascontiguousarray(x.astype(np.float32).T)
+    top = np.full((len(q), k), -np.inf, np.float32)
+    rows, cols, values = [], [], []
+    for lo in range(0, x.shape[1], _STRIP):
+        key = q @ x[:, lo : lo + _STRIP]
+        if less is not None:
+            key -= less[lo : lo + _STRIP]
+        if not lo and key.shape[1] > k:
+            top = -np.partition(-key, k - 1, axis=1)[:, :k]
+        bar = top.min(1) - slack
+        r, c = np.nonzero(key >= bar[:, None])
+        v = key[r, c]
+        rows.append(r)
+        cols.append(c + lo)
+        values.append(v)
+        if not lo and key.shape[1] > k:
+            continue
+        first = np.searchsorted(r, np.arange(len(q) + 1))
+        most = int(np.diff(first).max(initial=0))
+        if most:
+            some = np.flatnonzero(np.diff(first))
+            wide = np.full((len(some), k + most), -np.inf, np.float32)
+            wide[:, :k] = top[some]
+            wide[np.searchsorted(some, r), k + np.arange(len(r)) - first[r]] = v
+            top[some] = -np.partition(-wide, k - 1, axis=1)[:, :k]
+    r, c, v = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+    good = v >= (top.min(1) - slack)[r]
+    return r[good], c[good]
+
+
 def _local(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int, metric: str) -> pa.RecordBatch:
     """The k best of a block of vectors for each query, ties by id."""
     out_q, out_x, out_s = [], [], []
     sign = -1.0 if DESCENDING[metric] else 1.0
-    for lo in range(0, len(q), 512):
-        key = sign * np.round(scores(q[lo : lo + 512], x, metric), DECIMALS)
-        if len(x) > k:
-            # the k-th best of each query; all its equals stay until ids decide
-            edge = np.partition(key, k - 1, axis=1)[:, k - 1 : k]
-            row, col = np.nonzero(key <= edge)
-        else:
-            row, col = (a.ravel() for a in np.indices(key.shape))
-        order = np.lexsort((x_ids[col], key[row, col], row))
-        row, col = row[order], col[order]
-        first = np.searchsorted(row, np.arange(len(key)))
+    for lo in range(0, len(q) if len(x) else 0, 1024):
+        row, col = _near(q[lo : lo + 1024], x, k, metric)
+        key = sign * np.round(_exact(q[lo + row], x[col], metric), DECIMALS)
+        order = np.lexsort((x_ids[col], key, row))
+        row, col, key = row[order], col[order], key[order]
+        first = np.searchsorted(row, np.arange(len(q[lo : lo + 1024])))
         keep = np.arange(len(row)) - first[row] < k
-        row, col = row[keep], col[keep]
-        out_q.append(q_ids[lo + row])
-        out_x.append(x_ids[col])
-        out_s.append(sign * key[row, col] + 0.0)
+        out_q.append(q_ids[lo + row[keep]])
+        out_x.append(x_ids[col[keep]])
+        out_s.append(sign * key[keep] + 0.0)
     cat = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
     return pa.RecordBatch.from_arrays([pa.array(cat(out_q).astype(np.int64)), pa.array(cat(out_x).astype(np.int64)), pa.array(cat(out_s).astype(np.float64))], names=["query_id", "id", "score"])
 
