@@ -33,16 +33,36 @@ def pooled(hidden: Column | str, mask: Column | str) -> Column:
 def hashing_embedder(dim: int = 384) -> Embedder:
     """Words and their three-letter pieces hashed to signed places, at length 1. A text without words is the zero vector."""
 
+    known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def places(word: str) -> tuple[np.ndarray, np.ndarray]:
+        if word not in known:
+            if len(known) > 200_000:
+                known.clear()
+            marked = f"^{word}$"
+            hashes = [xxhash.xxh64_intdigest(p) for p in (word, *(marked[i : i + 3] for i in range(len(marked) - 2)))]
+            known[word] = np.array([h % dim for h in hashes]), np.array([(1.0 if i else 2.0) * (1 if h >> 63 else -1) for i, h in enumerate(hashes)])
+        return known[word]
+
+    def some(texts: list[str]) -> np.ndarray:
+        ids: dict[str, int] = {}
+        words = [[ids.setdefault(w, len(ids)) for w in t.lower().split()] for t in texts]
+        flat = np.array([w for ws in words for w in ws], np.int64)
+        if not len(flat):
+            return np.zeros((len(texts), dim))
+        pieces = [places(w) for w in ids]
+        size = np.array([len(p) for p, _ in pieces])
+        begin = np.cumsum(size) - size
+        row = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+        n = size[flat]
+        at = np.repeat(begin[flat] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        spot = np.repeat(row, n) * dim + np.concatenate([p for p, _ in pieces])[at]
+        return np.bincount(spot, np.concatenate([w for _, w in pieces])[at], len(texts) * dim).reshape(len(texts), dim)
+
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), np.float32)
-        for row, text in enumerate(texts):
-            for word in text.lower().split():
-                marked = f"^{word}$"
-                for piece, weight in [(word, 2.0), *((marked[i : i + 3], 1.0) for i in range(len(marked) - 2))]:
-                    h = xxhash.xxh64_intdigest(piece)
-                    out[row, h % dim] += weight if h >> 63 else -weight
+        out = np.concatenate([np.zeros((0, dim)), *(some(texts[lo : lo + 128]) for lo in range(0, len(texts), 128))])
         size = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(size < 1e-12, 1.0, size)
+        return (out / np.where(size < 1e-12, 1.0, size)).astype(np.float32)
 
     return embed
 

@@ -21,7 +21,7 @@ from veclume.functions.vectors import DESCENDING, METRICS, literal, matrix
 DECIMALS = 6
 #: Queries up to this many go to every task; more are cut into blocks that meet blocks of vectors by a join.
 BROADCAST_QUERIES = 10_000
-_BLOCK, _STRIP = 4096, 4096
+_BLOCK, _STRIP, _HELD = 4096, 4096, 1 << 16
 
 
 def best_first(metric: str, score: str = "score", ident: str = "id") -> list[Column]:
@@ -138,15 +138,27 @@ def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosi
     q = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(vector).alias("v"))
     x = vectors.select(F.col(ident).cast("bigint").alias("id"), F.col(vector).alias("v"))
     kind = "query_id bigint, id bigint, score double"
-    few = q.limit(BROADCAST_QUERIES + 1).collect()
-    if len(few) <= BROADCAST_QUERIES:
-        ids = np.array([r.query_id for r in few], np.int64)
-        rows = np.array([r.v for r in few], np.float64).reshape(len(few), len(few[0].v) if few else 0)
+    few = q.limit(BROADCAST_QUERIES + 1).toArrow().combine_chunks()
+    if few.num_rows <= BROADCAST_QUERIES:
+        ids = few.column("query_id").to_numpy().astype(np.int64)
+        rows = matrix(few.column("v").chunk(0)) if few.num_rows else np.zeros((0, 0))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows and len(ids):
-                    yield _local(ids, rows, batch.column(0).to_numpy(zero_copy_only=False), matrix(batch.column(1), rows.shape[1]), many, metric)
+            """Batches are joined to blocks that a task can hold: the fewer blocks, the fewer rows leave it."""
+            held: list[pa.RecordBatch] = []
+
+            def block() -> pa.RecordBatch:
+                whole = pa.Table.from_batches(held).combine_chunks()
+                held.clear()
+                return _local(ids, rows, whole.column(0).chunk(0).to_numpy(zero_copy_only=False), matrix(whole.column(1).chunk(0), rows.shape[1]), many, metric)
+
+            for batch in batches if len(ids) else ():
+                if batch.num_rows:
+                    held.append(batch)
+                if sum(b.num_rows for b in held) >= _HELD:
+                    yield block()
+            if held:
+                yield block()
 
         near = x.mapInArrow(run, kind)
     else:

@@ -66,10 +66,16 @@ def lloyd_step(vectors: DataFrame, centroids: DataFrame, vector: str = "embeddin
         at = np.flatnonzero(count)
         yield pa.RecordBatch.from_arrays([pa.array(ids[at].astype(np.int32)), pa.array(count[at]), pa.array(list(total[at]), pa.list_(pa.float64()))], names=["k", "n", "sums"])
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            sums = matrix(batch.column(2), book.shape[1])
+            for k, n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sums):
+                held[k] = (held[k][0] + n, held[k][1] + s) if k in held else (n, s)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array([s / n for n, s in held.values()], pa.list_(pa.float64()))], names=["k", "n", "centroid"])
+
     part = vectors.select(vector).mapInArrow(run, "k int, n bigint, sums array<double>")
-    flat = part.select("k", "n", F.posexplode("sums").alias("pos", "x")).groupBy("k", "pos").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    whole = flat.groupBy("k").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("c"))
-    return whole.select("k", "n", F.expr("transform(c, p -> p.x / n)").alias("centroid"))
+    return part.repartition("k").mapInArrow(merge, "k int, n bigint, centroid array<double>")
 
 
 def sample_of(vectors: DataFrame, n: int, seed: int, vector: str = "embedding", ident: str = "id") -> np.ndarray:
@@ -99,7 +105,7 @@ def train_pq(vectors: DataFrame, config: PQConfig, vector: str = "embedding", id
     return ProductQuantizer.from_codebooks(config, [np.array(r.book).reshape(-1, d).tolist() for r in sorted(rows, key=lambda r: r.m)])
 
 
-def train_cells(vectors: DataFrame, cells: int, iterations: int = 8, seed: int = 42, vector: str = "embedding", ident: str = "id") -> np.ndarray:
+def train_cells(vectors: DataFrame, cells: int, iterations: int = 5, seed: int = 42, vector: str = "embedding", ident: str = "id") -> np.ndarray:
     """Centroids of cells: seeds from a sample, then Lloyd steps over all vectors."""
     x = sample_of(vectors, max(50 * cells, 1000), seed, vector, ident)
     rng = np.random.default_rng(seed)
