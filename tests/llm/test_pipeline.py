@@ -42,7 +42,7 @@ def test_language(steps):
             continue  # the plain parse is slow
         cost = {name: _phrases(r.text, text) * math.log2(len(L.letters(text))) for name, text in learnt}
         best = min(cost, key=cost.get)
-        assert (r.doc_id in kept) == (len(z) > 1 and (len(z) < 100 or cost[best] / len(z) <= 4))
+        assert (r.doc_id in kept) == (len(z) > 1 and (len(z) < 100 or cost[best] / len(z) <= 4.5))
         if r.doc_id in kept:
             assert kept[r.doc_id].lang == best and kept[r.doc_id].text == r.text
 
@@ -68,12 +68,12 @@ def test_lines(steps):
 
 def test_near_duplicates(steps):
     sets = {r.doc_id: _shingles(r.text) for r in steps[2].collect() if r.text.split()}
-    near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if _jaccard(sets[a], sets[b]) >= 0.62]
+    near = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if _jaccard(sets[a], sets[b]) >= 0.56]
     kept = {r.doc_id for r in steps[3].collect()}
     gone = {r.doc_id for r in steps[2].collect()} - kept
     assert sum(a in kept and b in kept for a, b in near) <= 0.1 * len(near)
     for i in gone:
-        assert max(_jaccard(sets[i], sets[j]) for j in sets if j != i) > 0.38
+        assert max(_jaccard(sets[i], sets[j]) for j in sets if j != i) > 0.33
 
 
 def test_mixing(steps, spark):

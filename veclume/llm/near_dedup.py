@@ -10,6 +10,10 @@ sketches put its Jaccard similarity at ``threshold`` or more, and connected
 components of the edges are the groups. A region of any size stays connected
 through its chain of neighbours, so nothing is capped.
 
+Words are runs of letters and digits, lower case, so that copies with other
+punctuation or capitals are near; a text without any is taken by what stands
+between its white space.
+
 Cases: a null or blank text has no words and is in no group; a null doc_id can
 be named by no group and is left alone; rows that repeat a doc_id are copies of
 one document; fewer than ``shingle`` words make a single shingle; ties go to the
@@ -22,13 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veclume.llm.shared import fresh, materialise, mix64, pieces, text_batches, utf8
+from veclume.llm.shared import discard, fresh, materialise, mix64, pieces, text_batches, utf8, words_of
 
 U = np.uint64
 SEEDS = 128
+TREE = ["tree", "label", "sketch", "doc_id", "twin"]
 _BASE = U(0x9E3779B97F4A7C15)
 
 
@@ -110,13 +116,19 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def forest(docs: DataFrame, trees: int, depth: int, shingle: int, seed: int) -> DataFrame:
-    """(tree, label, sketch, doc_id), ``trees`` rows for each document that has words; label is binary so that byte order sorts it."""
+    """(tree, label, sketch, doc_id, twin), ``trees`` rows for each document that has words; label is binary so that byte order sorts it.
+
+    Of documents with one sketch that a task meets, only the first gets into
+    the trees; the others name it as their twin, in a row of tree -1. So a text
+    that comes a million times is in no tree more often than there are tasks.
+    """
     if trees * depth > SEEDS:
         raise ValueError(f"trees * depth may be {SEEDS} at most")
     odd = _odd(SEEDS, seed)
     text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
         for batch in batches:
             ids = batch.column(0)
             raw, offsets = utf8(batch.column(1))
@@ -130,11 +142,23 @@ def forest(docs: DataFrame, trees: int, depth: int, shingle: int, seed: int) ->
                 keep = ids.take(pa.array(rows))
                 marks = np.ascontiguousarray(sketch(values)).view(np.uint8).reshape(len(rows), -1)
                 labels = (mix64(values) & U(0xFFFFFFFF)).astype(">u4")
+                names = keep.to_numpy(zero_copy_only=False)
+                twins = np.array([seen.setdefault(m.tobytes(), i) for m, i in zip(marks, names.tolist())], np.int64)
+                new = np.array([seen[m.tobytes()] == i for m, i in zip(marks, names.tolist())])
+                if not new.all():
+                    n = int((~new).sum())
+                    none = pa.nulls(n, pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), none, none, pa.array(names[~new]), pa.array(twins[~new])], names=TREE)
+                if not new.any():
+                    continue
+                labels, marks, names = labels[new], marks[new], pa.array(names[new])
                 for t in range(trees):
-                    label = np.ascontiguousarray(labels[:, t * depth : (t + 1) * depth]).view(np.uint8).reshape(len(rows), -1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t, np.int32)), _binary(label), _binary(marks), keep], names=["tree", "label", "sketch", "doc_id"])
+                    label = np.ascontiguousarray(labels[:, t * depth : (t + 1) * depth]).view(np.uint8).reshape(len(labels), -1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(labels), t, np.int32)), _binary(label), _binary(marks), names, pa.nulls(len(labels), pa.int64())], names=TREE)
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).filter("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "tree int, label binary, sketch binary, doc_id bigint")
+    plain = words_of("text")
+    words = F.when(F.trim(plain) == "", F.col("text").cast("string")).otherwise(plain)
+    return docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint"), words.alias("text")).mapInArrow(run, "tree int, label binary, sketch binary, doc_id bigint, twin bigint")
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -155,6 +179,11 @@ def edges(rows: DataFrame, threshold: float, neighbours: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
+            twins = batch.filter(pc.less(batch.column(0), 0))
+            if twins.num_rows:
+                pair = np.stack([twins.column(3).to_numpy(zero_copy_only=False), twins.column(4).to_numpy(zero_copy_only=False)], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(pair.min(1)), pa.array(pair.max(1))], names=["a", "b"])
+                batch = batch.filter(pc.greater_equal(batch.column(0), 0))
             if not batch.num_rows:
                 continue
             now = (batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), "<u4"), _matrix(batch.column(2), "<u8"), batch.column(3).to_numpy(zero_copy_only=False))
@@ -174,8 +203,9 @@ def edges(rows: DataFrame, threshold: float, neighbours: int) -> DataFrame:
             pairs = np.unique(np.stack([low, high], 1)[low != high], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    cut = rows.withColumn("head", F.substring("label", 1, 4)).repartition("tree", "head").sortWithinPartitions("tree", "label", "doc_id")
-    return cut.select("tree", "label", "sketch", "doc_id").mapInArrow(run, "a bigint, b bigint").distinct()
+    head = F.coalesce(F.substring("label", 1, 4), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 4).cast("binary"))
+    cut = rows.withColumn("head", head).repartition("tree", "head").sortWithinPartitions("tree", "label", "doc_id")
+    return cut.select(*TREE).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -192,7 +222,8 @@ def components(pairs: DataFrame) -> DataFrame:
         # every (u, v) here has v < u
         low = F.min("v").over(Window.partitionBy("u"))
         small = large.withColumn("m", low).select(F.explode(F.array("u", "v")).alias("b"), F.col("m").alias("a")).filter("a < b").distinct()
-        pairs = materialise(small.select("a", "b"), "edges")
+        before, pairs = pairs, materialise(small.select("a", "b"), "edges")
+        discard(before)
         state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             break
@@ -201,7 +232,7 @@ def components(pairs: DataFrame) -> DataFrame:
     return nodes.unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.5, trees: int = 8, depth: int = 8, shingle: int = 3, neighbours: int = 4, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.45, trees: int = 12, depth: int = 8, shingle: int = 3, neighbours: int = 4, seed: int = 7) -> DataFrame:
     """(doc_id, group_id, keep) of every document that has a near duplicate; group_id is the group's smallest doc_id, which is kept."""
     found = components(edges(forest(docs, trees, depth, shingle, seed), threshold, neighbours))
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), (F.col("node") == F.col("root")).alias("keep"))

@@ -42,7 +42,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialise`` wrote, once nothing reads it any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_batches(spark: SparkSession, rows: int = 2000) -> None:
@@ -103,3 +111,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def word_count(text: str = "text"):
     """Words between white space, the token count used where no tokenizer is asked for. A null has none."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"\S+")), F.lit(0)).cast("bigint")
+
+
+def words_of(column: str = "text"):
+    """A text as its words: lower case, everything but letters and digits as single spaces."""
+    return F.regexp_replace(F.lower(F.col(column).cast("string")), r"[^\p{L}\p{N}]+", " ")

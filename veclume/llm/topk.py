@@ -33,16 +33,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veclume.llm.near_dedup import shingles
-from veclume.llm.shared import materialise, text_batches, utf8
+from veclume.llm.shared import materialise, text_batches, utf8, words_of
 
 _ROWS, _QUERIES = 1024, 256
 
 
-def words_of(column: str = "text"):
-    """The text as it is searched: lower case, everything but letters and digits as single spaces."""
-    return F.regexp_replace(F.lower(F.col(column).cast("string")), r"[^\p{L}\p{N}]+", " ")
-
-
 def _hashes(words: list[str]) -> np.ndarray:
     raw = "".join(words).encode()
     at = np.cumsum([0, *(len(w.encode()) for w in words)])
