@@ -218,7 +218,7 @@ def learn(labelled: DataFrame, label: str = "lang", text: str = "text", train_do
     return tuple((k, v) for k, v in sorted(learnt.items()) if letters(v))
 
 
-def identifier(learnt: tuple[tuple[str, str], ...], judge_chars: int = 100, max_bits: float = 4.0):
+def identifier(learnt: tuple[tuple[str, str], ...], judge_chars: int = 100, max_bits: float = 4.5):
     """A column function: text -> struct(language, phrases, chars, bits, accepted). Each Python worker builds the automata once, from the labelled text."""
 
     def run(texts: pa.Array) -> pa.Array:
@@ -232,14 +232,14 @@ def identifier(learnt: tuple[tuple[str, str], ...], judge_chars: int = 100, max_
     return F.arrow_udf(run, TYPE).asNondeterministic()
 
 
-def identify_languages(docs: DataFrame, labelled: DataFrame | None = None, judge_chars: int = 100, max_bits: float = 4.0, **bounds) -> DataFrame:
+def identify_languages(docs: DataFrame, labelled: DataFrame | None = None, judge_chars: int = 100, max_bits: float = 4.5, **bounds) -> DataFrame:
     """(doc_id, language, phrases, chars, bits, accepted), a row for every document."""
     text_batches(docs.sparkSession)
     of = identifier(learn(docs if labelled is None else labelled, **bounds), judge_chars, max_bits)
     return docs.select("doc_id", of(F.col("text").cast("string")).alias("r")).select("doc_id", "r.*")
 
 
-def keep_identified(docs: DataFrame, labelled: DataFrame | None = None, judge_chars: int = 100, max_bits: float = 4.0, **bounds) -> DataFrame:
+def keep_identified(docs: DataFrame, labelled: DataFrame | None = None, judge_chars: int = 100, max_bits: float = 4.5, **bounds) -> DataFrame:
     """The documents that are accepted, with ``lang`` set to the language found."""
     text_batches(docs.sparkSession)
     of = identifier(learn(docs if labelled is None else labelled, **bounds), judge_chars, max_bits)
