@@ -196,9 +196,20 @@ def test_pooling(spark):
         frame.select(E.mean_pooling(F.col("h"), F.array(F.lit(0), F.lit(0), F.lit(0)))).collect()
 
 
-def test_embedding(spark, tmp_path):
-    calls = []
+def test_model_embedder(tmp_path):
+    hidden = np.array([[[1.0, 0.0], [3.0, 0.0]], [[0.0, 2.0], [5.0, 5.0]]])
+    assert E.pool(hidden, np.array([[1, 1], [1, 0]])).tolist() == [[1, 0], [0, 1]]
+    with pytest.raises(ValueError):
+        E.pool(hidden, np.zeros((2, 2), int))
+    with pytest.raises(FileNotFoundError):
+        E.OnnxEmbedder(str(tmp_path / "no.onnx"), str(tmp_path / "no.json"))
+    for name in ("m.onnx", "t.json"):
+        (tmp_path / name).write_text("x")
+    with pytest.raises(ValueError):
+        E.OnnxEmbedder(str(tmp_path / "m.onnx"), str(tmp_path / "t.json"))([])
+
 
+def test_embedding(spark, tmp_path):
     one = E.hashing_embedder(16)
     assert np.allclose(np.linalg.norm(one(["some words"]), axis=1), 1) and not one([""]).any()
     docs = spark.createDataFrame([(1, "x y"), (2, "x y"), (3, None), (4, "z")], "id bigint, content string")
@@ -210,4 +221,4 @@ def test_embedding(spark, tmp_path):
     assert cached.stats(docs).first()[:] == (3, 2, round(1 / 3, 6))
     with pytest.raises(RuntimeError):
         E.embed_column("content", None)
-    assert E.sine_embed("", 2) == [0.0, 0.0] and not calls
+    assert E.sine_embed("", 2) == [0.0, 0.0]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,18 @@ from pyspark.sql import functions as F
 from veclume.functions.vectors import Vector, _col, checked, l2, l2_squared, total
 
 
+class Quantizer(Protocol):
+    """What scalar and binary quantizers share, in columns."""
+
+    def quantize(self, v: Vector) -> Column: ...
+
+    def dequantize(self, codes: Vector) -> Column: ...
+
+    def distance_quantized(self, a: Vector, b: Vector) -> Column: ...
+
+    def distance_asymmetric(self, query: Vector, codes: Vector) -> Column: ...
+
+
 @dataclass(frozen=True)
 class ScalarQuantizer:
     """One byte an element between the element's least and greatest value."""
@@ -63,6 +76,8 @@ class ScalarQuantizer:
         """Euclidean distance of a vector from what the codes stand for."""
         return l2(query, self.dequantize(codes))
 
+    distance_quantized, distance_asymmetric = symmetric, asymmetric
+
 
 def sq8_scale(low: Column, high: Column) -> Column:
     return F.when(high > low, ((high - low).cast("double") / F.lit(255.0)).cast("float")).otherwise(F.lit(1.0).cast("float"))
@@ -108,6 +123,8 @@ class BinaryQuantizer:
         """Inner product of a vector with the signs."""
         return total(F.zip_with(_col(query), self.signs(bits), lambda x, s: x.cast("double") * s.cast("double")))
 
+    distance_quantized, distance_asymmetric = hamming, asymmetric
+
 
 @dataclass(frozen=True)
 class PQConfig:

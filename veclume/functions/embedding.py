@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -67,6 +68,59 @@ def hashing_embedder(dim: int = 384) -> Embedder:
     return embed
 
 
+def pool(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Masked means of (texts, tokens, dim), each at length 1 unless shorter than 1e-12."""
+    count = mask.sum(axis=1, keepdims=True)
+    if (count == 0).any():
+        raise ValueError("no token counts")
+    mean = (hidden * mask[:, :, None]).sum(axis=1) / count
+    size = np.linalg.norm(mean, axis=1, keepdims=True)
+    return mean / np.where(size < 1e-12, 1.0, size)
+
+
+class OnnxEmbedder:
+    """A sentence encoder from an ONNX model and a tokenizer file, opened once in each process that embeds.
+
+    Inputs are the ids, the mask and, where the model asks for them, token
+    types; texts of a batch are padded with zeros to the longest. The output
+    ``last_hidden_state`` is pooled.
+    """
+
+    _open: dict[tuple[str, str], tuple] = {}
+
+    def __init__(self, model: str, tokenizer: str, dim: int = 384, threads: int = 4):
+        for path in (model, tokenizer):
+            if not os.path.exists(path):
+                raise FileNotFoundError(path)
+        self.model, self.tokenizer, self.dim, self.threads = model, tokenizer, dim, threads
+
+    def _session(self) -> tuple:
+        key = (self.model, self.tokenizer)
+        if key not in self._open:
+            import onnxruntime
+            from tokenizers import Tokenizer
+
+            options = onnxruntime.SessionOptions()
+            options.graph_optimization_level = onnxruntime.GraphOptimizationLevel.ORT_ENABLE_ALL
+            options.intra_op_num_threads = self.threads
+            self._open[key] = onnxruntime.InferenceSession(self.model, options), Tokenizer.from_file(self.tokenizer)
+        return self._open[key]
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        if not texts:
+            raise ValueError("nothing to embed")
+        session, tokenizer = self._session()
+        coded = tokenizer.encode_batch(texts)
+        longest = max(len(c.ids) for c in coded)
+        ids, mask, kinds = (np.zeros((len(texts), longest), np.int64) for _ in range(3))
+        for row, c in enumerate(coded):
+            n = len(c.ids)
+            ids[row, :n], mask[row, :n], kinds[row, :n] = c.ids, c.attention_mask, c.type_ids
+        given = {"input_ids": ids, "attention_mask": mask, "token_type_ids": kinds}
+        hidden = session.run(["last_hidden_state"], {i.name: given[i.name] for i in session.get_inputs()})[0]
+        return pool(hidden, mask).astype(np.float32)
+
+
 def sine_embed(text: str, dim: int = 384) -> list[float]:
     """The demo's embedding: a 32-bit string hash drives sines."""
     h = 0

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
-class RagConfig:
+class CollectionConfig:
     dim: int = 384
     max_documents: int = 10_000
     index: str = "ann"
