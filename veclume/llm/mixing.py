@@ -46,6 +46,8 @@ def solve(cells: DataFrame, weights: dict[str, float], total: float, middle: flo
 
     def sums(lam: np.ndarray, gamma: float) -> np.ndarray:
         table = spark.createDataFrame([(s, float(v)) for s, v in zip(names, lam)], "key string, lam double")
+        # this side has a row a source; without the hint Spark may send the other one
+        table = F.broadcast(table) if len(names) <= BROADCAST_SOURCES else table
         mass = F.col("n") * F.col("t") * F.exp(F.col("lam") + F.lit(float(gamma)) * z)
         got = {r[0]: r[1:] for r in cells.join(table, "key").groupBy("key").agg(F.sum(mass).alias("a"), F.sum(mass * z).alias("b"), F.sum(mass * z * z).alias("c")).collect()}
         return np.array([got[s] for s in names])
