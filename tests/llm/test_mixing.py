@@ -34,7 +34,7 @@ def docs(spark):
 def test_rates_against_plain_newton(docs):
     targets = {"a": 0.4, "b": 0.35, "c": 0.25}
     got = sorted(M.mixture(docs, targets=targets).collect())
-    rates = _plain([r.tokens for r in got], [r.source for r in got], targets, sum(r.tokens for r in got), 1e-4)
+    rates = _plain([r.tokens for r in got], [r.source for r in got], targets, sum(r.tokens for r in got), 1e-2)
     assert np.allclose([r.rate for r in got], rates, rtol=1e-5)
 
 

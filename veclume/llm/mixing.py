@@ -56,27 +56,32 @@ def solve(cells: DataFrame, weights: dict[str, float], total: float, middle: flo
         return a.sum() - lam @ want + slack * total * gamma * gamma / 2
 
     now = sums(lam, gamma)
-    while step_no < rounds:
+    while True:
+        # for this gamma the best lam is known outright, and scales the sums
+        factor = want / now[:, 0]
+        lam, now = lam + np.log(factor), now * factor[:, None]
         a, b, c = now.T
-        grad, grad_g = a - want, b.sum() + slack * total * gamma
-        if max(np.abs(grad / want).max(), abs(grad_g) / total) < tolerance:
+        grad = b.sum() + slack * total * gamma
+        if step_no == rounds or abs(grad) / total < tolerance:
             break
         # the Hessian is an arrow: diagonal in the sources, one row and column for the length
         pivot = c.sum() + slack * total - (b * b / a).sum()
-        dg = -(grad_g - (b * grad / a).sum()) / pivot
-        dl = -(grad + b * dg) / a
-        size, before = min(1.0, 4.0 / max(1e-12, np.abs(dl).max(), abs(dg))), value(a, lam, gamma)
-        slope = grad @ dl + grad_g * dg
+        dg = -grad / pivot
+        dl = -b * dg / a
+        size, before = min(1.0, 30.0 / max(1e-12, np.abs(dl).max()), 4.0 / max(1e-12, abs(dg))), value(a, lam, gamma)
         while True:
             after = sums(lam + size * dl, gamma + size * dg)
-            if value(after[:, 0], lam + size * dl, gamma + size * dg) <= before + 1e-4 * size * slope + 1e-9 * abs(before) or size < 1e-6:
+            fine = (after[:, 0] > 0).all() and value(after[:, 0], lam + size * dl, gamma + size * dg) <= before + 1e-4 * size * grad * dg + 1e-9 * abs(before)
+            if fine or size < 1e-9:
                 break
             size /= 2
+        if not fine:
+            break
         lam, gamma, now, step_no = lam + size * dl, gamma + size * dg, after, step_no + 1
     return {s: round(float(v), 9) for s, v in zip(names, lam)}, round(float(gamma), 9), step_no
 
 
-def mix_rates(docs: DataFrame, targets: dict[str | None, float] | None = None, exponent: float = 0.5, tokens: float | None = None, seed: int = 11, slack: float = 1e-4, tolerance: float = 1e-9, rounds: int = 50) -> tuple[DataFrame, dict[str, str]]:
+def mix_rates(docs: DataFrame, targets: dict[str | None, float] | None = None, exponent: float = 0.5, tokens: float | None = None, seed: int = 11, slack: float = 1e-2, tolerance: float = 1e-9, rounds: int = 50) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with the number of words, the rate and the copies of each row, and the names of these three columns.
 
     ``targets`` are the sources' shares of tokens, scaled to sum to 1; left out,
