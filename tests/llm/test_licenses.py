@@ -96,3 +96,20 @@ def test_hard_cases(hard, clashing, nothing, spark):
     rows = [(None, notice), (1, notice), (1, notice), (2, None), (3, "word " * 100_000 + notice)]
     got = sorted((r.doc_id or 0, r.license, r.coverage) for r in L.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
     assert got == [(0, "MIT-notice", 1.0), (1, "MIT-notice", 1.0), (1, "MIT-notice", 1.0), (3, "MIT-notice", 1.0)]
+
+
+def test_whole_texts(spark):
+    whole = {n: t for n, t in L.TEMPLATES.items() if n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC-text", "zlib", "Unlicense")} | L.whole_texts()
+    assert len(whole) == 14
+    mit = L.TEMPLATES["MIT"]
+    rows = [(n, f"Some words before. {t} And after.") for n, t in whole.items()]
+    rows += [("opening only", L.TEMPLATES["MIT-grant"]), ("MIT without its opening", mit[mit.index("a copy of this") :])]
+    names = dict(enumerate(n for n, _ in rows))
+    got = {}
+    for r in L.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id bigint, text string")).collect():
+        got.setdefault(names[r.doc_id], []).append((r.license, r.coverage, r.end - r.start))
+    for name, text in whole.items():
+        assert [(n, c) for n, c, _ in got[name]] == [(name, 1.0)]
+        assert got[name][0][2] >= len(text.strip()) - 60  # the span is all of the text, but for signs at its ends
+    assert [n for n, _, _ in got["opening only"]] == ["MIT-grant"]
+    assert [n for n, _, _ in got["MIT without its opening"]] == ["MIT"]

@@ -18,9 +18,10 @@ document may hold several templates and one template several times.
 
 from __future__ import annotations
 
+import os
 import re
 from bisect import bisect_right
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from veclume.llm.near_dedup import shingles
 from veclume.llm.shared import pieces, text_batches, utf8
 
-#: Notices, and openings or notices of longer texts, in general use. Others, such as whole texts, can be given to ``scan``.
+#: Notices, openings of longer texts, and whole texts of up to 250 words, in general use. The longer texts are in ``whole_texts``.
 TEMPLATES: dict[str, str] = {
     "MIT-notice": "Released under the MIT License.",
     "Apache-2.0-short": "Licensed under the Apache License, Version 2.0.",
@@ -46,8 +47,29 @@ TEMPLATES: dict[str, str] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT OWNER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
 }
 
+#: Whole texts too long to stand here, a file each, named by license.
+TEXTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
+
+
+def whole_texts() -> dict[str, str]:
+    """The whole texts of the longer licenses."""
+    out = {}
+    for file in sorted(os.listdir(TEXTS)):
+        with open(os.path.join(TEXTS, file), encoding="utf-8") as f:
+            out[file.removesuffix(".txt")] = f.read()
+    return out
+
+
 #: Bytes of letters and digits stay, lower case; other ASCII divides words. Bytes beyond ASCII count as letters.
 _CLASS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 
@@ -70,13 +92,8 @@ def winnow(hashes: np.ndarray, window: int) -> list[int]:
     """Places of the hashes kept: the smallest of every ``window`` in a row, the last of equals."""
     if len(hashes) <= window:
         return [len(hashes) - 1 - int(hashes[::-1].argmin())] if len(hashes) else []
-    kept = []
-    for i in range(len(hashes) - window + 1):
-        part = hashes[i : i + window]
-        at = i + window - 1 - int(part[::-1].argmin())
-        if not kept or kept[-1] != at:
-            kept.append(at)
-    return kept
+    last = window - 1 - np.lib.stride_tricks.sliding_window_view(hashes, window)[:, ::-1].argmin(1)
+    return np.unique(np.arange(len(last)) + last).tolist()
 
 
 class Index:
@@ -94,11 +111,11 @@ class Index:
             for p in winnow(h, window):
                 self.at[int(h[p])].append((t, p))
         self.known = np.array(sorted(self.at), np.uint64)
-        self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[(self.known >> np.uint64(48)).astype(np.int64)] = True
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
 
     def hits(self, h: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self.maybe[(h >> np.uint64(48)).astype(np.int64)])
+        at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
         k = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
         return at[self.known[k] == h[at]]
 
@@ -142,12 +159,14 @@ def match(text: str, index: Index, hits: list[tuple[int, int]], band: int, least
     found = []
     for t, some in places.items():
         template, spans, failed, left = index.words[t], [], None, list(doc)
+        need = Counter(template)
         for d, i in sorted(some):
             # a span that was found accounts for its hits, and a failure for the diagonals in its band
             if any(a <= i < b for a, b in spans) or (failed is not None and d - failed <= band):
                 continue
             lo, hi = max(0, d - band), min(len(doc), d + band + len(template))
-            n, a, b = align(left[lo:hi], template, d - lo, band)
+            # the words in common bound the words matched, which spares the alignment of long texts for a chance hit
+            n, a, b = align(left[lo:hi], template, d - lo, band) if (need & Counter(left[lo:hi])).total() / len(template) >= least else (0, 0, 0)
             if n / len(template) < least:
                 failed = d
                 continue
@@ -170,9 +189,12 @@ TYPE = "doc_id bigint, license string, coverage double, matched int, start int,
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, gram: int = 3, window: int = 3, band: int = 8, least: float = 0.8) -> DataFrame:
-    """(doc_id, license, coverage, matched, start, end): each place where ``least`` of a template's words are found."""
+    """(doc_id, license, coverage, matched, start, end): each place where ``least`` of a template's words are found.
+
+    ``templates`` left out are ``TEMPLATES`` and ``whole_texts``.
+    """
     text_batches(docs.sparkSession)
-    known = dict(TEMPLATES if templates is None else templates)
+    known = {**TEMPLATES, **whole_texts()} if templates is None else dict(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(known, gram, window)
