@@ -7,7 +7,7 @@ stage but the last returns the columns of documents:
 2. ``lines``: lines that repeat an earlier line go, and documents they leave blank.
 3. ``near_duplicates``: one document of each group of near duplicates stays.
 4. ``mixing``: rows come as often as the mixture of sources asks.
-5. ``packing``: the windows that the rest is trained in.
+5. ``packing``: the windows that the rest is trained in, by words (``pack_documents`` without a tokenizer).
 """
 
 from __future__ import annotations

@@ -67,3 +67,21 @@ def test_hard_cases(hard, clashing, nothing):
     assert P.pack_documents(nothing).count() == 0
     with pytest.raises(ValueError):
         P.pack_documents(hard, (8192,), 100)
+
+
+def test_lengths_are_tokens_of_the_vocabulary(spark, sf):
+    from veclume.llm.queries import op5_packing
+    from veclume.llm.tokens import VOCABULARY, count_tokens, open_tokenizer
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: r.n_tokens for r in count_tokens(docs).collect()}
+    got, ends = Counter(), {}
+    for r in op5_packing(spark, sf).collect():
+        assert r.tokens == sum(r.lengths) <= r.tier
+        for i, o, n in zip(r.doc_ids, r.offsets, r.lengths):
+            got[i] += n
+            ends[i] = max(ends.get(i, 0), o + n)
+    assert got == ends == {i: n for i, n in want.items() if n}
+    solid = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=9000))  # no white space: a single word
+    rows = P.pack_documents(spark.createDataFrame([(1, solid)], "doc_id bigint, text string"), (128, 1024), 4096, tokenizer=VOCABULARY).collect()
+    assert len(rows) > 1 and sum(r.tokens for r in rows) == len(open_tokenizer(VOCABULARY)([solid])[0])

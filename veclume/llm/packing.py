@@ -9,7 +9,13 @@ remains. The windows of a tier are dealt to steps of ``step_tokens`` each in
 turns, back and forth by attention cost, so that the steps of a tier have nearly
 the same number of windows and cost.
 
-Only lengths and ids are moved. Pieces fall into shards by hash, as many as it
+Lengths and offsets are in tokens of a ``tokenizer``, as ``tokens`` counts them
+(of the text with ``\\n`` as line ends and no white space at its ends). Without a
+tokenizer words between white space stand for tokens; a word is 2.3 to 3 tokens
+in the texts at hand, and a text without white space is one word, so such
+windows are for what counts words only.
+
+Windows are made from lengths and ids alone. Pieces fall into shards by hash, as many as it
 takes to have ``shard_docs`` documents in each on average; a shard is packed on its
 own, and its windows and steps are complete.
 
@@ -27,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veclume.llm.shared import materialise, word_count
+from veclume.llm.tokens import count_tokens
 
 TYPE = "tier int, shard int, window int, step int, tokens int, cost bigint, doc_ids array<bigint>, offsets array<int>, lengths array<int>"
 
@@ -68,12 +75,19 @@ def pack(pieces: list[tuple[int, int, int]], tiers: tuple[int, ...], step_tokens
     return out
 
 
-def pack_documents(docs: DataFrame, tiers: tuple[int, ...] = (2048, 8192, 32768), step_tokens: int = 262_144, shard_docs: int = 20_000) -> DataFrame:
-    """One row for each window: its tier (length), shard, number and step, its tokens and attention cost, and the pieces it holds in order."""
+def pack_documents(docs: DataFrame, tiers: tuple[int, ...] = (2048, 8192, 32768), step_tokens: int = 262_144, shard_docs: int = 20_000, tokenizer: str | None = None, cache: str | None = None) -> DataFrame:
+    """One row for each window: its tier (length), shard, number and step, its tokens and attention cost, and the pieces it holds in order.
+
+    ``tokenizer`` is a vocabulary file and ``cache`` a folder of stored counts, as ``count_tokens`` takes them; without a tokenizer words are counted.
+    """
     if not tiers or min(tiers) < 1 or step_tokens < max(tiers):
         raise ValueError("windows need at least a token, and a step at least the longest window")
     most = max(tiers)
-    sized = materialise(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), word_count().cast("int").alias("n"), F.xxhash64("doc_id", "text").alias("h")).filter("n > 0"), "lengths")
+    if tokenizer is None:
+        lengths = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), word_count().cast("int").alias("n"), F.xxhash64("doc_id", "text").alias("h"))
+    else:
+        lengths = count_tokens(docs, tokenizer, cache).select("doc_id", F.col("n_tokens").alias("n"), F.xxhash64("doc_id", "n_tokens").alias("h"))
+    sized = materialise(lengths.filter("n > 0"), "lengths")
     shards = max(1, -(-sized.count() // shard_docs))
     cut = sized.select("doc_id", F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "n", F.explode(F.expr(f"sequence(0, n - 1, {most})")).alias("offset")).withColumn("length", F.least(F.lit(most), F.col("n") - F.col("offset")))
 

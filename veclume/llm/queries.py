@@ -15,7 +15,7 @@ from veclume.llm.packing import pack_documents
 from veclume.llm.preferences import format_preferences, spans_text, stale_reply_pairs
 from veclume.llm.quantised import nearest
 from veclume.llm.shared import table
-from veclume.llm.tokens import count_tokens
+from veclume.llm.tokens import VOCABULARY, count_tokens
 from veclume.llm.topk import top_k
 
 
@@ -37,7 +37,7 @@ def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer=VOCABULARY)
 
 
 def op6_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

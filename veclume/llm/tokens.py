@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from veclume.llm.shared import materialise, new_path, partitions, text_batches
 
 TOKENIZERS = os.environ.get("VECLUME_TOKENIZERS", "/opt/tokenizers")
+#: The vocabulary that is used where none is named.
+VOCABULARY = os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
 #: How byte-level vocabularies without a rule of their own split text, as the published ones do.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SCHEMA = "tokenizer string, digest binary, n_tokens int"
@@ -92,7 +94,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache: str | Non
     is a folder that all executors share; left out, it is a new one.
     """
     spark = docs.sparkSession
-    path = tokenizer or os.path.join(TOKENIZERS, "byte_bpe_50k.tiktoken")
+    path = tokenizer or VOCABULARY
     cache = cache or new_path(spark, "token-cache")
     text_batches(spark)
     of = tokenizer_digest(path)
