@@ -113,3 +113,25 @@ def test_whole_texts(spark):
         assert got[name][0][2] >= len(text.strip()) - 60  # the span is all of the text, but for signs at its ends
     assert [n for n, _, _ in got["opening only"]] == ["MIT-grant"]
     assert [n for n, _, _ in got["MIT without its opening"]] == ["MIT"]
+
+
+def test_one_word_edits_of_short_notices(spark):
+    texts = []
+    for name, t in L.TEMPLATES.items():
+        notice = t.split()
+        if len(L._words(t)) < L.SHORT:
+            edits = [notice[:k] + put + notice[k + cut :] for k in range(len(notice)) for put, cut in ((["changed"], 1), (["extra"], 0), ([], 1))]
+            texts += [(name, " ".join(["some", "words", *e, "and", "then", "others"])) for e in edits]
+    rows = L.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id bigint, text string")).collect()
+    got, most = {(r.doc_id, r.license): r.coverage for r in rows}, {}
+    for r in rows:
+        most[r.doc_id] = max(r.matched, most.get(r.doc_id, 0))
+    for i, (name, text) in enumerate(texts):
+        n = len(L._words(L.TEMPLATES[name]))
+        matched = _plain(L._words(text), L._words(L.TEMPLATES[name]))[1]
+        if matched / n < 0.8:
+            assert (i, name) not in got
+        elif (i, name) in got:
+            assert abs(got[i, name] - matched / n) < 1e-6, (name, text)
+        else:
+            assert most.get(i, 0) >= matched, (name, text)  # a notice that matches more stands there

@@ -9,6 +9,13 @@ which the template is aligned locally with the document within a band, unless a
 span found before accounts for the hit. What is reported is the share of the template's words
 matched in place, and the span of the document, in characters.
 
+A changed word breaks ``gram`` runs, and of a template under ``SHORT`` words that
+may be all. Such templates are indexed by each of their words: wherever as many
+words of a template as it takes stand close enough to be aligned within the
+band, each of them is a hit, and the diagonals with most hits come first. In
+longer templates the winnowing finds a copy if any ``gram + window - 1`` words in a
+row are unchanged; one with a change in every few words can be missed.
+
 Cases: a null, blank or wordless text matches nothing; a null doc_id is
 reported as null; repeated rows are reported as often as they come; of spans
 that overlap the one that matches most words stays, then the one that covers
@@ -18,6 +25,7 @@ document may hold several templates and one template several times.
 
 from __future__ import annotations
 
+import math
 import os
 import re
 from bisect import bisect_right
@@ -57,6 +65,9 @@ TEMPLATES: dict[str, str] = {
     "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
 }
 
+#: Templates of fewer words are found by their words, others by runs of words.
+SHORT = 20
+
 #: Whole texts too long to stand here, a file each, named by license.
 TEXTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "license_texts")
 
@@ -96,28 +107,72 @@ def winnow(hashes: np.ndarray, window: int) -> list[int]:
     return np.unique(np.arange(len(last)) + last).tolist()
 
 
+def _bits(known: np.ndarray) -> np.ndarray:
+    bits = np.zeros(1 << 20, bool)
+    bits[(known >> np.uint64(44)).astype(np.int64)] = True
+    return bits
+
+
+def _found(h: np.ndarray, known: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``h`` is among ``known``, and which it is there."""
+    at = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)])
+    if not len(known):
+        return at[:0], at[:0]
+    k = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
+    same = known[k] == h[at]
+    return at[same], k[same]
+
+
 class Index:
-    """Inverted index of the templates' fingerprints, with a table of bits before it that turns most lookups away."""
+    """Inverted index of the templates' fingerprints, with a table of bits before it that turns most lookups away.
+
+    ``by_word`` is the index of the short templates' words.
+    """
 
     def __init__(self, templates: dict[str, str], gram: int, window: int):
         self.names = sorted(templates)
         self.words = [_words(templates[n]) for n in self.names]
         self.gram = gram
         self.at: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.by_word: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, name in enumerate(self.names):
             if len(self.words[t]) < gram:
                 raise ValueError(f"the template {name} has fewer than {gram} words")
+            if len(self.words[t]) < SHORT:
+                for p, x in enumerate(_hash(templates[name], 1)):
+                    self.by_word[int(x)].append((t, p))
+                continue
             h = _hash(templates[name], gram)
             for p in winnow(h, window):
                 self.at[int(h[p])].append((t, p))
+        self.short = np.array(sorted(self.by_word), np.uint64)
+        self.maybe_short = _bits(self.short)
+        #: for each short template, which of the words in ``short`` it has
+        self.has = {t: np.array([any(u == t for u, _ in self.by_word[int(x)]) for x in self.short], bool) for t in range(len(self.names)) if len(self.words[t]) < SHORT}
         self.known = np.array(sorted(self.at), np.uint64)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
+        self.maybe = _bits(self.known)
 
     def hits(self, h: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype(np.int64)])
-        k = np.minimum(np.searchsorted(self.known, h[at]), len(self.known) - 1)
-        return at[self.known[k] == h[at]]
+        """Where the runs of words are fingerprints."""
+        return _found(h, self.known, self.maybe)[0]
+
+    def word_hits(self, h: np.ndarray, of: np.ndarray, band: int, least: float) -> dict[int, list[tuple[int, int]]]:
+        """Document -> (place in ``h``, short template), where as many words of the template as it takes are close together."""
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        at, which = _found(h, self.short, self.maybe_short)
+        for t, has in self.has.items():
+            mine, n = at[has[which]], len(self.words[t])
+            need = math.ceil(least * n - 1e-9)
+            if len(mine) < need:
+                continue
+            first, last = mine[: len(mine) - need + 1], mine[need - 1 :]
+            close = (last - first < n + 2 * band) & (of[first] == of[last])
+            dense = np.zeros(len(mine) + 1, np.int64)
+            np.add.at(dense, np.flatnonzero(close), 1)
+            np.add.at(dense, np.flatnonzero(close) + need, -1)
+            for x in mine[np.cumsum(dense[:-1]) > 0].tolist():
+                out[int(of[x])].append((x, t))
+        return out
 
 
 def align(doc: list[str], template: list[str], shift: int, band: int) -> tuple[int, int, int]:
@@ -149,18 +204,21 @@ def align(doc: list[str], template: list[str], shift: int, band: int) -> tuple[i
     return best[1], best[2], best[3]
 
 
-def match(text: str, index: Index, hits: list[tuple[int, int]], band: int, least: float) -> list[tuple[str, float, int, int, int]]:
-    """(template, coverage, words matched, start, end) for the hits (word of the document, hash) of one text."""
+def match(text: str, index: Index, hits: list[tuple[int, int]], words: list[tuple[int, int, int]], band: int, least: float) -> list[tuple[str, float, int, int, int]]:
+    """(template, coverage, words matched, start, end) for the hits (word of the document, hash) of one text, and its words (place, hash, template) of short templates."""
     doc, where = _words(text), _spans(text)
     places: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for i, h in hits:
         for t, p in index.at[h]:
             places[t].append((i - p, i))
+    for i, h, t in words:
+        places[t] += [(i - p, i) for u, p in index.by_word[h] if u == t]
     found = []
     for t, some in places.items():
         template, spans, failed, left = index.words[t], [], None, list(doc)
-        need = Counter(template)
-        for d, i in sorted(some):
+        need, short = Counter(template), len(template) < SHORT
+        support = Counter(d for d, _ in some)
+        for d, i in sorted(some, key=lambda x: (-support[x[0]], x)) if short else sorted(some):
             # a span that was found accounts for its hits, and a failure for the diagonals in its band
             if any(a <= i < b for a, b in spans) or (failed is not None and d - failed <= band):
                 continue
@@ -168,7 +226,7 @@ def match(text: str, index: Index, hits: list[tuple[int, int]], band: int, least
             # the words in common bound the words matched, which spares the alignment of long texts for a chance hit
             n, a, b = align(left[lo:hi], template, d - lo, band) if (need & Counter(left[lo:hi])).total() / len(template) >= least else (0, 0, 0)
             if n / len(template) < least:
-                failed = d
+                failed = None if short else d  # a stray word's failure says nothing of the diagonals beside it
                 continue
             a, b = lo + a, lo + b
             spans.append((a, b))
@@ -208,10 +266,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, gram: int = 3
                 first = np.concatenate([[0], np.cumsum(per)])
                 spots = index.hits(h)
                 of = np.searchsorted(first, spots, side="right") - 1
-                for d in np.unique(of):
+                w, per_word = shingles(plain, at - at[0], 1)
+                first_word = np.concatenate([[0], np.cumsum(per_word)])
+                words = index.word_hits(w, np.repeat(np.arange(hi - lo), per_word), band, least)
+                for d in sorted({*of.tolist(), *words}):
                     mine = spots[of == d]
-                    row = lo + int(d)
-                    found = match(batch.column(1)[row].as_py(), index, [(int(x - first[d]), int(h[x])) for x in mine], band, least)
+                    row = lo + d
+                    short = [(int(x - first_word[d]), int(w[x]), t) for x, t in words.get(d, [])]
+                    found = match(batch.column(1)[row].as_py(), index, [(int(x - first[d]), int(h[x])) for x in mine], short, band, least)
                     rows += [(batch.column(0)[row].as_py(), *f) for f in found]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int32()))], names=["doc_id", "license", "coverage", "matched", "start", "end"])
 
