@@ -88,3 +88,14 @@ def test_many_copies_of_a_line(spark):
     a = "a line that is long enough to be judged"
     docs = spark.range(5000).selectExpr("id doc_id", f"'{a}' text")
     assert D.repeated_lines(docs).count() == 4999
+
+
+def test_exact_repeats_of_short_lines(spark):
+    long = "a line of more than twenty bytes"
+    docs = [(1, f"And ornd.\n\n{long}\né"), (2, f"And ornd.\n \n{long}!\nAnd orne."), (3, "é\n\n \nAnd ornd.")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.line_no, r.keep_doc_id, r.keep_line_no, r.edits) for r in D.repeated_lines(frame, short=True).collect())
+    assert got == [(2, 0, 1, 0, 0), (2, 2, 1, 2, 1), (3, 0, 1, 3, 0), (3, 3, 1, 0, 0)]
+    assert {r.doc_id: r.text for r in D.drop_repeated_lines(frame, short=True).collect()} == {1: docs[0][1], 2: " \nAnd orne."}
+    key = lambda rows: sorted(tuple(r) for r in rows if r.edits or r.line_no == 2)
+    assert key(D.repeated_lines(frame).collect()) == key(D.repeated_lines(frame, short=True).collect())

@@ -10,7 +10,8 @@ are verified by a banded bit-parallel edit distance.
 
 Lines are ordered by (doc_id, line number). A line goes if some earlier line
 repeats it, so each chain of repeats keeps its first line. Lines under
-``min_bytes`` are too short to judge and stay.
+``min_bytes`` are too short to judge by edits. They stay, unless ``short`` asks
+for their exact repeats, which need no least length; blank lines always stay.
 
 Cases: a null text has no lines; a null doc_id names no lines, so that document
 is neither changed nor a source; rows that repeat a doc_id share their lines'
@@ -111,10 +112,10 @@ def _keys(edits: int) -> tuple[list[str], list[str]]:
     return index, probe
 
 
-def _lines(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """(doc_id, line_no, line, n) of every line that is long enough."""
+def _lines(docs: DataFrame, min_bytes: int, short: bool = False) -> DataFrame:
+    """(doc_id, line_no, line, n) of every line that is long enough, or with ``short`` isn't blank."""
     some = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("n", F.octet_length("line")).filter(F.col("n") >= min_bytes)
+    return some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("n", F.octet_length("line")).filter((F.col("n") >= min_bytes) | (F.col("line").rlike(r"\S") if short else F.lit(False)))
 
 
 def _verified(pairs: DataFrame, edits: int) -> DataFrame:
@@ -135,17 +136,20 @@ def _verified(pairs: DataFrame, edits: int) -> DataFrame:
     return ordered.mapInArrow(run, "doc_id bigint, line_no int, h bigint, keep_doc_id bigint, keep_line_no int, edits int")
 
 
-def repeated_lines(docs: DataFrame, edits: int = 2, min_bytes: int = 20) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = 2, min_bytes: int = 20, short: bool = False) -> DataFrame:
     """(doc_id, line_no, h, keep_doc_id, keep_line_no, edits) of every line that goes.
 
     The kept line is the earliest that it repeats: byte for byte if there is
     one (``edits`` 0), else within the threshold. ``h`` is the line's hash.
+    ``short`` adds exact repeats of lines under ``min_bytes``.
     """
     if min_bytes <= 2 * edits:
         raise ValueError("lines must be longer than twice the edits")
     text_batches(docs.sparkSession)
     index, probe = _keys(edits)
-    lines = _lines(docs, min_bytes)
+    lines = _lines(docs, min_bytes, short)
+    if short:  # short lines have no segments to meet others by
+        index, probe = ([f"if(n >= {min_bytes}, {x}, null)" for x in keys] for keys in (index, probe))
     keyed = lines.withColumn("b", F.col("line").cast("binary")).select(
         "doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), F.expr(f"array({', '.join(index)})").alias("index"), F.expr(f"array({', '.join(probe)})").alias("probe")
     )
@@ -158,6 +162,8 @@ def repeated_lines(docs: DataFrame, edits: int = 2, min_bytes: int = 20) -> Data
     exact = placed.filter("doc_id <> keep_doc_id OR line_no <> keep_line_no").select("doc_id", "line_no", "h", "keep_doc_id", "keep_line_no", F.lit(0).alias("edits"))
 
     held = placed.filter("rn = 1").select(F.explode("index").alias("key"), F.col("h").alias("h_a"))
+    if short:
+        held = held.filter("key IS NOT NULL")
     asked = placed.filter("rn = 1").select(F.explode("probe").alias("key"), F.col("h").alias("h_b")).filter("key IS NOT NULL")
     met = held.join(asked, "key").filter("h_a <> h_b").select(F.least("h_a", "h_b").alias("h_a"), F.greatest("h_a", "h_b").alias("h_b"))
     pairs = materialise(met.distinct(), "pairs")
@@ -174,11 +180,11 @@ def repeated_lines(docs: DataFrame, edits: int = 2, min_bytes: int = 20) -> Data
     return exact.unionByName(near)
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = 2, min_bytes: int = 20) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, edits: int = 2, min_bytes: int = 20, short: bool = False) -> DataFrame:
     """``docs`` without the lines that repeat earlier ones, and without documents left blank by that. ``n_chars`` follows the text."""
     text_batches(docs.sparkSession)
     gone, mark, text = fresh(docs.columns, "gone"), fresh(docs.columns, "mark"), fresh(docs.columns, "text")
-    lists = repeated_lines(docs, edits, min_bytes).groupBy(F.col("doc_id").alias(mark)).agg(F.collect_list(F.struct("line_no", "h")).alias(gone))
+    lists = repeated_lines(docs, edits, min_bytes, short).groupBy(F.col("doc_id").alias(mark)).agg(F.collect_list(F.struct("line_no", "h")).alias(gone))
 
     def cut(texts: pa.Array, gones: pa.Array) -> pa.Array:
         out = []
