@@ -92,3 +92,14 @@ def test_hard_cases(hard, clashing, nothing):
 def test_no_words_at_all(spark):
     got = M.apply_mixture(spark.createDataFrame([(1, None, "a"), (2, " ", None)], "doc_id bigint, text string, source string"))
     assert got.count() == 2
+
+
+def test_lengths_from_a_column(spark):
+    # source b has as many words, but three times the tokens
+    rows = [(i, "one two three four " * (1 + i % 7), "ab"[i % 2], (4 + 8 * (i % 2)) * (1 + i % 7)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_tokens int")
+    got = M.mixture(docs, targets={"a": 1, "b": 1}, lengths="n_tokens").collect()
+    assert {r.doc_id: r.tokens for r in got} == {r[0]: r[3] for r in rows}
+    total = {s: sum(r.tokens * r.rate for r in got if r.source == s) for s in "ab"}
+    assert math.isclose(total["a"], total["b"], rel_tol=1e-6) and math.isclose(sum(total.values()), sum(r[3] for r in rows), rel_tol=1e-6)
+    assert M.apply_mixture(docs, lengths="n_tokens").columns == docs.columns

@@ -81,16 +81,20 @@ def solve(cells: DataFrame, weights: dict[str, float], total: float, middle: flo
     return {s: round(float(v), 9) for s, v in zip(names, lam)}, round(float(gamma), 9), step_no
 
 
-def mix_rates(docs: DataFrame, targets: dict[str | None, float] | None = None, exponent: float = 0.5, tokens: float | None = None, seed: int = 11, slack: float = 1e-2, tolerance: float = 1e-9, rounds: int = 50) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with the number of words, the rate and the copies of each row, and the names of these three columns.
+def mix_rates(docs: DataFrame, targets: dict[str | None, float] | None = None, exponent: float = 0.5, tokens: float | None = None, seed: int = 11, slack: float = 1e-2, tolerance: float = 1e-9, rounds: int = 50, lengths: str | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the number of tokens, the rate and the copies of each row, and the names of these three columns.
+
+    ``lengths`` is a column of ``docs`` with token counts; left out, words
+    between white space are counted.
 
     ``targets`` are the sources' shares of tokens, scaled to sum to 1; left out,
     they are the shares of the corpus raised to ``exponent``. ``tokens`` is the
     size of the mixture, that of the corpus if left out.
     """
     spark = docs.sparkSession
+    length = word_count() if lengths is None else F.coalesce(F.col(lengths).cast("bigint"), F.lit(0))
     names = {k: fresh(docs.columns, k) for k in ("tokens", "rate", "copies", "key", "lam")}
-    cells = materialise(docs.select(_key().alias("key"), word_count().alias("t")).groupBy("key", "t").agg(F.count("*").alias("n")), "cells")
+    cells = materialise(docs.select(_key().alias("key"), length.alias("t")).groupBy("key", "t").agg(F.count("*").alias("n")), "cells")
     per = {r[0]: r[1:] for r in cells.groupBy("key").agg(F.sum(F.col("n") * F.col("t")).alias("w"), F.sum(F.col("n") * F.col("t") * F.log1p("t")).alias("m"), F.sum(F.col("n") * F.col("t") * F.log1p("t") ** 2).alias("v")).collect()}
     live = {k: v for k, v in per.items() if v[0] > 0}
     words = sum(v[0] for v in live.values())
@@ -114,7 +118,7 @@ def mix_rates(docs: DataFrame, targets: dict[str | None, float] | None = None, e
     t, rate = F.col(names["tokens"]), F.col(names["rate"])
     z = (F.log1p(t) - F.lit(middle)) / F.lit(spread)
     draw = F.expr("shiftrightunsigned(xxhash64({}, doc_id, text), 11)".format(seed)) / F.lit(float(1 << 53))
-    out = docs.withColumn(names["key"], _key()).join(table, names["key"], "left").withColumn(names["tokens"], word_count())
+    out = docs.withColumn(names["key"], _key()).join(table, names["key"], "left").withColumn(names["tokens"], length)
     out = out.withColumn(names["rate"], F.coalesce(F.exp(F.col(names["lam"]) + F.lit(gamma) * z), F.lit(0.0)))
     out = out.withColumn(names["copies"], F.floor(rate + draw).cast("int")).drop(names["key"], names["lam"])
     return out, names
