@@ -56,3 +56,33 @@ def test_hard_cases(hard, clashing, nothing):
     assert by[3] is None and by[4] == 0 and by[5] == 0 and by[9] == by[10] > 5 and by[7] == by[6] + 1
     assert sorted(map(str, rows)) == sorted(map(str, T.count_tokens(clashing).collect()))
     assert T.count_tokens(nothing).count() == 0
+
+
+def test_query_finds_half_of_the_texts_in_the_cache(spark, sf):
+    from veclume.llm.queries import op10_token_counts
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("even", F.expr("pmod(xxhash64(doc_id), 2) = 0")).collect()
+    plain = lambda r: r.text.replace("\r\n", "\n").replace("\r", "\n").strip()
+    before, encode = {plain(r) for r in docs if r.even}, T.open_tokenizer(PATH)
+    want = sorted((r.doc_id, len(encode([plain(r)])[0]), plain(r) in before) for r in docs)
+    assert sorted(map(tuple, op10_token_counts(spark, sf).collect())) == want
+    assert len({w[2] for w in want}) == 2
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_misses_by_broadcast_and_by_shuffle(spark, sf, monkeypatch, most):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60")
+    want = sorted(map(tuple, T.count_tokens(docs).collect()))
+    monkeypatch.setattr(T, "BROADCAST_MISSES", most)
+    cache = new_path(spark, "cache")
+    T.fill_cache(docs.filter("doc_id < 20"), None, cache)
+    got = sorted(map(tuple, T.count_tokens(docs, cache=cache).collect()))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and sum(g[2] for g in got) >= 20
+    # what the cache has is known without any text being moved or encoded
+    monkeypatch.setattr(T, "open_tokenizer", None)
+    assert all(r.cached for r in T.count_tokens(docs, cache=cache).collect())
+
+
+def test_lengths_where_rows_lie(spark, hard):
+    want = {(r.doc_id, r.n_tokens) for r in T.count_tokens(hard).collect()}
+    assert {tuple(r) for r in hard.select("doc_id", T.token_lengths()("text")).collect()} == want

@@ -38,19 +38,32 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs nothing written."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost executor costs nothing written.
+
+    What isn't discarded before is deleted when the application ends.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    fs, at = _file(spark, path)
+    fs.deleteOnExit(at)
     return out
 
 
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def discard(df: DataFrame) -> None:
-    """Delete what ``materialise`` wrote, once nothing reads it any more."""
-    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_at)
-    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete what ``materialise`` wrote, once nothing reads it any more. Other tables are left alone."""
+    path = getattr(df, "_written_at", None)
+    if path:
+        fs, at = _file(df.sparkSession, path)
+        fs.cancelDeleteOnExit(at)
+        fs.delete(at, True)
 
 
 def text_batches(spark: SparkSession, rows: int = 2000) -> None:
