@@ -42,21 +42,66 @@ def test_steps_have_nearly_equal_cost():
 
 def test_long_documents_are_cut_and_nothing_is_lost(spark):
     docs = spark.createDataFrame([(1, "a " * 250), (2, "b " * 10), (3, "c " * 100)], "doc_id bigint, text string")
-    rows = P.pack_documents(docs, (10, 50, 100), 200, shard_docs=100).collect()
+    rows = P.pack_documents(docs, (10, 50, 100), 200).collect()
     held = sorted((i, o, n) for r in rows for i, o, n in zip(r.doc_ids, r.offsets, r.lengths))
     assert held == [(1, 0, 100), (1, 100, 100), (1, 200, 50), (2, 0, 10), (3, 0, 100)]
     assert all(r.tokens == r.tier for r in rows)
 
 
-def test_shards_cover_the_table(spark, sf):
+def _plain(lengths, tiers):
+    """Best fit by decreasing length, piece by piece: how full the windows of each tier are."""
+    pools, out = {t: [] for t in tiers}, []
+    for n in sorted(lengths, reverse=True):
+        pools[min(t for t in tiers if t >= n)].append(n)
+    for k in range(len(tiers) - 1, -1, -1):
+        gaps = []
+        for lower in range(k, -1, -1):
+            rest = []
+            for n in pools[tiers[lower]]:
+                fits = [g for g in gaps if g >= n]
+                if fits:
+                    gaps.remove(min(fits))
+                    gaps.append(min(fits) - n)
+                elif lower == k:
+                    gaps.append(tiers[k] - n)
+                else:
+                    rest.append(n)
+            pools[tiers[lower]] = rest
+        out += [(tiers[k], tiers[k] - g) for g in gaps]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_histogram_packs_as_pieces_do_one_by_one(seed):
+    rng = random.Random(seed)
+    tiers = [(8, 20, 64), (50,), (16, 17, 100)][seed % 3]
+    lengths = [min(max(tiers), int(rng.paretovariate(0.9) * 3)) for _ in range(400 + 300 * seed)]
+    windows = P.pack([(n, i, 0) for i, n in enumerate(lengths)], tiers, max(tiers) * 3)
+    _check([(n, i, 0) for i, n in enumerate(lengths)], windows, tiers, max(tiers) * 3)
+    assert sorted((w[0], w[3]) for w in windows) == _plain(lengths, tiers)
+
+
+@pytest.mark.parametrize("salts", [1, 7, 256])
+def test_the_table_packs_as_its_pieces_in_one_process(spark, sf, salts):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    rows = P.pack_documents(docs, (128, 512, 2048), 4096, shard_docs=50).collect()
-    want = {r.doc_id: len(r.text.split()) for r in docs.collect()}
-    got = Counter()
-    for r in rows:
-        for i, n in zip(r.doc_ids, r.lengths):
-            got[i] += n
-    assert got == {i: n for i, n in want.items() if n} and len({r.shard for r in rows}) > 1
+    tiers = (128, 512, 2048)
+    rows = P.pack_documents(docs, tiers, 4096, salts=salts).collect()
+    pieces = [(min(2048, n - o), r.doc_id, o) for r in docs.collect() for n in [len(r.text.split())] for o in range(0, n, 2048)]
+    _check(pieces, [(r.tier, r.window, r.step, r.tokens, r.cost, list(zip(r.lengths, r.doc_ids, r.offsets))) for r in rows], tiers, 4096)
+    assert sorted((r.tier, r.tokens) for r in rows) == _plain([p[0] for p in pieces], tiers)
+    assert len({(r.tier, r.window) for r in rows}) == len(rows)
+
+
+def test_partitions_do_not_matter(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    key = lambda d: sorted(map(str, P.pack_documents(d, (128, 512, 2048), 4096).collect()))
+    assert key(docs) == key(docs.repartition(13))
+
+
+def test_copies_go_to_different_windows(spark):
+    docs = spark.createDataFrame([(i // 5, "w " * 20) for i in range(500)], "doc_id bigint, text string")
+    rows = P.pack_documents(docs, (100,), 1000).collect()
+    assert len(rows) == 100 and all(len(set(r.doc_ids)) == 5 for r in rows)
 
 
 def test_hard_cases(hard, clashing, nothing):
