@@ -33,7 +33,7 @@ def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(table(spark, sf_dir, "documents"))
+    return mixture(table(spark, sf_dir, "documents"), tokenizer=VOCABULARY)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
