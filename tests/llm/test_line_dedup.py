@@ -99,3 +99,36 @@ def test_exact_repeats_of_short_lines(spark):
     assert {r.doc_id: r.text for r in D.drop_repeated_lines(frame, short=True).collect()} == {1: docs[0][1], 2: " \nAnd orne."}
     key = lambda rows: sorted(tuple(r) for r in rows if r.edits or r.line_no == 2)
     assert key(D.repeated_lines(frame).collect()) == key(D.repeated_lines(frame, short=True).collect())
+
+
+def test_parities_bound_the_distance():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("abc 019é") for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    bits = D.parities(pa.array(lines)).to_numpy(zero_copy_only=False).view("uint32")
+    for a in range(0, 300, 3):
+        for b in range(300):
+            assert int(bits[a] ^ bits[b]).bit_count() <= 2 * _distance(lines[a].encode(), lines[b].encode())
+    assert D.parities(pa.array([None, "", "aa"])).to_pylist() == [None, 0, 0]
+
+
+def test_a_segment_of_many_lines(spark):
+    rng = random.Random(7)
+    head = "every line begins alike: "
+    docs = [(i, head + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(50))) for i in range(3000)]
+    docs += [(3000 + i, _edited(rng, docs[i * 31][1], 2)) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = [sorted(map(tuple, D.repeated_lines(frame, crowded=most).collect())) for most in (50, 4096)]
+    near = {3000 + i for i in range(40) if _distance(docs[3000 + i][1].encode(), docs[i * 31][1].encode()) <= 2}
+    assert len(near) > 10 and got[0] == got[1] and {r[0] for r in got[0]} == near
+
+
+def test_a_hundred_thousand_lines_that_share_a_segment(spark):
+    from pyspark.sql import functions as F
+
+    line = F.concat(F.lit("a third of the line is the same "), F.sha2(F.col("id").cast("string"), 256))
+    docs = spark.range(100_000).select(F.col("id").alias("doc_id"), line.alias("text"))
+    more = docs.filter("doc_id % 1000 = 0").select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.concat(F.col("text"), F.lit("!")).alias("text"))
+    got = {(r.doc_id, r.keep_doc_id, r.edits) for r in D.repeated_lines(docs.unionByName(more)).collect()}
+    assert got == {(1_000_000 + i, i, 1) for i in range(0, 100_000, 1000)}

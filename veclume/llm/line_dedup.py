@@ -5,8 +5,11 @@ replacements (of its UTF-8 form) turn one into the other. Split a line into
 ``edits + 1`` segments: whatever is within that distance holds one of them
 unchanged, at a place that the lengths confine to a few offsets. Each distinct
 line is indexed by the hashes of its segments, and probes the index of each
-length it may match with the substrings that can hold a segment; pairs that meet
-are verified by a banded bit-parallel edit distance.
+length it may match with the substrings that can hold a segment. Lines that meet
+are a pair if the parities of their bytes differ by no more than edits can
+change, which nearly all that merely share a segment fail; pairs are verified by
+a banded bit-parallel edit distance. A segment that very many lines share is
+divided among tasks.
 
 Lines are ordered by (doc_id, line number). A line goes if some earlier line
 repeats it, so each chain of repeats keeps its first line. Lines under
@@ -14,21 +17,26 @@ repeats it, so each chain of repeats keeps its first line. Lines under
 for their exact repeats, which need no least length; blank lines always stay.
 
 Cases: a null text has no lines; a null doc_id names no lines, so that document
-is neither changed nor a source; rows that repeat a doc_id share their lines'
+is neither changed nor a source; an empty text is one blank line; a very long
+line is a line like others; rows that repeat a doc_id share their lines'
 addresses, and a line goes from each row that has it there; repeated rows keep
-the lines they have in common. A document that loses every line goes.
+the lines they have in common; of lines equally near the earliest is named. A
+document that loses every line goes. An empty table gives no rows; other columns
+come along whatever their names; ids are whole numbers, and one that can't be
+cast to BIGINT ends the job.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veclume.llm.shared import fresh, materialise, text_batches
+from veclume.llm.shared import discard, fresh, materialise, text_batches, utf8
 
 #: Lines asked for by key are found by a broadcast of their keys up to this many, by a shuffle beyond.
 BROADCAST_KEYS = 1_000_000
@@ -113,9 +121,26 @@ def _keys(edits: int) -> tuple[list[str], list[str]]:
 
 
 def _lines(docs: DataFrame, min_bytes: int, short: bool = False) -> DataFrame:
-    """(doc_id, line_no, line, n) of every line that is long enough, or with ``short`` isn't blank."""
+    """(doc_id, line_no, line) of every line that is long enough, or with ``short`` isn't blank."""
     some = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("n", F.octet_length("line")).filter((F.col("n") >= min_bytes) | (F.col("line").rlike(r"\S") if short else F.lit(False)))
+    return some.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter((F.octet_length("line") >= min_bytes) | (F.col("line").rlike(r"\S") if short else F.lit(False)))
+
+
+#: The kind of a byte, one of 32; letters, and digits among themselves, are of kinds of their own.
+_KIND = np.array([1 << ((b + 7 * (b >> 5)) & 31) for b in range(256)], np.uint32)
+
+
+def parities(lines: pa.Array) -> pa.Array:
+    """Of each kind of byte whether a line has an odd number of it: an edit changes two at most. Null for a null."""
+    raw, at = utf8(lines)
+    out = np.zeros(len(lines), np.uint32)
+    some = np.flatnonzero(np.diff(at))
+    if len(some):
+        out[some] = np.bitwise_xor.reduceat(_KIND[raw], at[some])
+    return pa.array(out.view(np.int32), mask=lines.is_null().to_numpy(zero_copy_only=False))
+
+
+parities.__annotations__ = {"lines": pa.Array, "return": pa.Array}
 
 
 def _verified(pairs: DataFrame, edits: int) -> DataFrame:
@@ -136,48 +161,49 @@ def _verified(pairs: DataFrame, edits: int) -> DataFrame:
     return ordered.mapInArrow(run, "doc_id bigint, line_no int, h bigint, keep_doc_id bigint, keep_line_no int, edits int")
 
 
-def repeated_lines(docs: DataFrame, edits: int = 2, min_bytes: int = 20, short: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int = 2, min_bytes: int = 20, short: bool = False, crowded: int = 4096) -> DataFrame:
     """(doc_id, line_no, h, keep_doc_id, keep_line_no, edits) of every line that goes.
 
     The kept line is the earliest that it repeats: byte for byte if there is
     one (``edits`` 0), else within the threshold. ``h`` is the line's hash.
-    ``short`` adds exact repeats of lines under ``min_bytes``.
+    ``short`` adds exact repeats of lines under ``min_bytes``. A segment that more
+    than ``crowded`` lines share is met in parts, with the same result.
     """
     if min_bytes <= 2 * edits:
         raise ValueError("lines must be longer than twice the edits")
     text_batches(docs.sparkSession)
     index, probe = _keys(edits)
-    lines = _lines(docs, min_bytes, short)
-    if short:  # short lines have no segments to meet others by
-        index, probe = ([f"if(n >= {min_bytes}, {x}, null)" for x in keys] for keys in (index, probe))
-    keyed = lines.withColumn("b", F.col("line").cast("binary")).select(
-        "doc_id", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), F.expr(f"array({', '.join(index)})").alias("index"), F.expr(f"array({', '.join(probe)})").alias("probe")
-    )
+    keyed = _lines(docs, min_bytes, short).withColumns({"h": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
     first = Window.partitionBy("h", "h2").orderBy("doc_id", "line_no")
-    placed = materialise(
-        keyed.withColumns({"keep_doc_id": F.first("doc_id").over(first), "keep_line_no": F.first("line_no").over(first), "rn": F.row_number().over(first)})
-        .withColumns({k: F.expr(f"if(rn = 1, {k}, null)") for k in ("index", "probe")}),
-        "lines",
-    )
+    placed = keyed.withColumns({"keep_doc_id": F.first("doc_id").over(first), "keep_line_no": F.first("line_no").over(first), "line": F.when((F.row_number().over(first) == 1) & (F.octet_length("line") >= min_bytes), F.col("line"))})
+    placed = materialise(placed.drop("h2").withColumn("parity", F.arrow_udf(parities, "int")("line")), "lines")
     exact = placed.filter("doc_id <> keep_doc_id OR line_no <> keep_line_no").select("doc_id", "line_no", "h", "keep_doc_id", "keep_line_no", F.lit(0).alias("edits"))
 
-    held = placed.filter("rn = 1").select(F.explode("index").alias("key"), F.col("h").alias("h_a"))
-    if short:
-        held = held.filter("key IS NOT NULL")
-    asked = placed.filter("rn = 1").select(F.explode("probe").alias("key"), F.col("h").alias("h_b")).filter("key IS NOT NULL")
-    met = held.join(asked, "key").filter("h_a <> h_b").select(F.least("h_a", "h_b").alias("h_a"), F.greatest("h_a", "h_b").alias("h_b"))
+    distinct = placed.filter("line IS NOT NULL").select("h", "parity", F.col("line").cast("binary").alias("b"), F.octet_length("line").alias("n"))
+    keys = lambda sql, s: distinct.select(F.explode(F.expr(f"array({', '.join(sql)})")).alias("key"), F.col("h").alias(f"h_{s}"), F.col("parity").alias(f"parity_{s}")).filter("key IS NOT NULL")
+    held, asked = keys(index, "a"), keys(probe, "b")
+    # a key that very many lines have is divided: each part of them meets all that ask for it, in a task of its own
+    crowd = materialise(held.groupBy("key").count().filter(F.col("count") > crowded).select("key", F.ceil(F.col("count") / crowded).cast("int").alias("parts")), "crowd")
+    crowds, on = crowd.count(), ["key"]
+    if crowds:
+        small = F.broadcast(crowd) if crowds <= BROADCAST_KEYS else crowd
+        parts, on = F.coalesce("parts", F.lit(1)), ["key", "part"]
+        held = held.join(small, "key", "left").withColumn("part", F.pmod(F.xxhash64("h_a"), parts).cast("int")).drop("parts")
+        asked = asked.join(small, "key", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    near = (F.col("h_a") != F.col("h_b")) & (F.bit_count(F.col("parity_a").bitwiseXOR(F.col("parity_b"))) <= 2 * edits)
+    met = held.join(asked, on).filter(near).select(F.least("h_a", "h_b").alias("h_a"), F.greatest("h_a", "h_b").alias("h_b"))
     pairs = materialise(met.distinct(), "pairs")
 
     wanted = materialise(pairs.select(F.explode(F.array("h_a", "h_b")).alias("h")).distinct(), "wanted")
-    if wanted.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
-    some = lines.withColumn("h", F.xxhash64("line")).join(wanted, "h", "left_semi").withColumn("h2", F.xxhash64(F.lit(1), "line"))
-    texts = some.groupBy("h", "h2").agg(F.min(F.struct("doc_id", "line_no", F.col("line").cast("binary").alias("text"))).alias("at")).select("h", "at.*")
-    texts = materialise(texts, "texts")
+    some = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    texts = materialise(placed.filter("line IS NOT NULL").select("h", "doc_id", "line_no", F.col("line").cast("binary").alias("text")).join(some, "h", "left_semi"), "texts")
     side = lambda s: texts.select(F.col("h").alias(f"h_{s}"), F.col("doc_id").alias(f"doc_{s}"), F.col("line_no").alias(f"line_{s}"), F.col("text").alias(f"text_{s}"))
-    near = _verified(pairs.join(side("a"), "h_a").join(side("b"), "h_b"), edits)
-    near = near.groupBy("doc_id", "line_no", "h").agg(F.min(F.struct("keep_doc_id", "keep_line_no", "edits")).alias("k")).select("doc_id", "line_no", "h", "k.*")
-    return exact.unionByName(near)
+    found = _verified(pairs.join(side("a"), "h_a").join(side("b"), "h_b"), edits)
+    found = found.groupBy("doc_id", "line_no", "h").agg(F.min(F.struct("keep_doc_id", "keep_line_no", "edits")).alias("k")).select("doc_id", "line_no", "h", "k.*")
+    found = materialise(found, "near-lines")
+    for done in (crowd, pairs, wanted, texts):
+        discard(done)
+    return exact.unionByName(found)
 
 
 def drop_repeated_lines(docs: DataFrame, edits: int = 2, min_bytes: int = 20, short: bool = False) -> DataFrame:

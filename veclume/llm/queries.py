@@ -41,7 +41,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines(table(spark, sf_dir, "documents")).drop("h")
+    return repeated_lines(table(spark, sf_dir, "documents"), short=True).drop("h")
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,12 +121,12 @@ WITH l AS (
   SELECT doc_id, CAST(i - 1 AS INTEGER) AS line_no, parts[i] AS line
   FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
         FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL))
-  WHERE strlen(parts[i]) >= 20
+  WHERE regexp_matches(parts[i], '[^\s\v]')
 ), f AS (
   SELECT *, first_value(doc_id) OVER w AS fd, first_value(line_no) OVER w AS fl FROM l
   WINDOW w AS (PARTITION BY line ORDER BY doc_id, line_no)
 ), d AS (
-  SELECT DISTINCT line, fd AS doc_id, fl AS line_no, strlen(line) AS n FROM f
+  SELECT DISTINCT line, fd AS doc_id, fl AS line_no, strlen(line) AS n FROM f WHERE strlen(line) >= 20
 ), n AS (
   SELECT b.doc_id, b.line_no, a.doc_id AS kd, a.line_no AS kl, CAST(levenshtein(a.line, b.line) AS INTEGER) AS e
   FROM d b JOIN (SELECT *, unnest([n - 2, n - 1, n, n + 1, n + 2]) AS m FROM d) a ON a.m = b.n
