@@ -10,15 +10,21 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from veclume.llm import language as L
 from veclume.llm.shared import materialise
+from veclume.llm.tokens import VOCABULARY, open_tokenizer
 
 from .test_language import _phrases
 from .test_line_dedup import _distance
 from .test_mixing import _plain as _rates
 from .test_near_dedup import _jaccard, _shingles
+from .test_packing import _plain as _packed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _tokens(texts):
+    return [len(x) for x in open_tokenizer(VOCABULARY)([t.replace("\r\n", "\n").replace("\r", "\n").strip(" \t\n\x0b\f\r") for t in texts])]
+
+
 @pytest.fixture(scope="module")
 def steps(spark, sf):
     """The rows before the first stage and after each."""
@@ -53,8 +59,8 @@ def test_lines(steps):
         left = []
         for x in r.text.split("\n"):
             b = x.encode()
-            if len(b) >= 20:
-                near = b in first or any(abs(len(b) - len(y)) <= 2 and sum((Counter(b) - Counter(y)).values()) <= 2 and _distance(b, y) <= 2 for y in first)
+            if x.strip():
+                near = b in first or len(b) >= 20 and any(len(y) >= 20 and abs(len(b) - len(y)) <= 2 and sum((Counter(b) - Counter(y)).values()) <= 2 and _distance(b, y) <= 2 for y in first)
                 first[b] = 1
                 if near:
                     continue
@@ -78,26 +84,28 @@ def test_near_duplicates(steps):
 
 def test_mixing(steps, spark):
     rows = steps[3].withColumn("u", F.expr("shiftrightunsigned(xxhash64(11, doc_id, text), 11)") / float(1 << 53)).collect()
-    words = [len(r.text.split()) for r in rows]
+    words = _tokens(r.text for r in rows)
     total = Counter()
     for r, w in zip(rows, words):
         total[r.source] += w
     whole = sum(math.sqrt(v) for v in total.values())
-    rates = _rates(words, [r.source for r in rows], {s: math.sqrt(v) / whole for s, v in total.items()}, sum(words), 1e-2)
+    rates = _rates(words, [r.source for r in rows], {s: math.sqrt(v) / whole for s, v in total.items()}, sum(words), 1e-4)
     want = Counter({r.doc_id: math.floor(q + r.u) for r, q in zip(rows, rates) if math.floor(q + r.u)})
     assert Counter(r.doc_id for r in steps[4].collect()) == want
 
 
 def test_packing(steps):
-    want = Counter()
-    for r in steps[4].collect():
-        want[r.doc_id] += len(r.text.split())
+    want, rows = Counter(), steps[4].collect()
+    for r, n in zip(rows, _tokens(r.text for r in rows)):
+        want[r.doc_id] += n
     got = Counter()
     for r in steps[5].collect():
         assert r.tokens == sum(r.lengths) <= r.tier
         for i, n in zip(r.doc_ids, r.lengths):
             got[i] += n
     assert got == +want
+    tiers, pieces = (2048, 8192, 32768), [min(32768, n - o) for n in _tokens(r.text for r in rows) for o in range(0, n, 32768)]
+    assert sorted((r.tier, r.tokens) for r in steps[5].collect()) == _packed(pieces, tiers)
 
 
 def test_run_is_the_stages_in_order(spark, sf, steps):
