@@ -88,7 +88,8 @@ def open_tokenizer(path: str) -> Callable[[list[str]], list[list[int]]]:
 
 
 def normalised(column: str = "text"):
-    return F.regexp_replace(F.regexp_replace(F.col(column).cast("string"), "\r\n?", "\n"), r"^\s+|\s+$", "")
+    ends = F.replace(F.replace(F.col(column).cast("string"), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.btrim(ends, F.lit(" \t\n\x0b\f\r"))
 
 
 def stored(cache: str, tokenizer: str, spark) -> DataFrame:
@@ -128,7 +129,7 @@ def _fill(docs: DataFrame, path: str, cache: str) -> tuple[DataFrame, DataFrame,
     few = misses.count()
     if not few:
         return keys, known, spark.createDataFrame([], "digest binary, n_tokens int")
-    some = texts.filter("digest IS NOT NULL").select("digest", "text")
+    some = texts.filter("text IS NOT NULL").select("digest", "text")
     if few <= BROADCAST_MISSES:
         # two digests of one hash would only bring a text along that the cache has
         mark = F.broadcast(misses.select(F.xxhash64("digest").alias("mark")))
