@@ -135,3 +135,11 @@ def test_one_word_edits_of_short_notices(spark):
             assert abs(got[i, name] - matched / n) < 1e-6, (name, text)
         else:
             assert most.get(i, 0) >= matched, (name, text)  # a notice that matches more stands there
+
+
+def test_openings_of_other_licenses_are_not_mit(spark):
+    from veclume.llm.licenses import TEMPLATES, scan
+
+    texts = [TEMPLATES["BSL-1.0"], TEMPLATES["Unicode-3.0"], TEMPLATES["MIT"], TEMPLATES["BSL-1.0-grant"], TEMPLATES["Unicode-grant"], TEMPLATES["MIT-grant"]]
+    docs = spark.createDataFrame([(i, f"Some words before. {t} Some words after.") for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.license, r.coverage) for r in scan(docs).collect()) == [(i, n, 1.0) for i, n in enumerate(["BSL-1.0", "Unicode-3.0", "MIT", "BSL-1.0-grant", "Unicode-grant", "MIT-grant"])]

@@ -95,3 +95,43 @@ def test_rows_that_repeat_an_id_are_one_document(spark):
     rows = [(1, "b b b b"), (1, "a a a a"), (1, None), (2, "c c c c")]
     kept = N.drop_near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((r.doc_id, r.text) for r in kept) == [(1, "a a a a"), (2, "c c c c")]
+
+
+def test_candidates_against_every_pair():
+    rng = np.random.default_rng(8)
+    for region, neighbours in ((4, 1), (8, 2), (3, 4)):
+        label = rng.integers(0, 3, (300, 4)).astype("u4")
+        label[100:180] = label[100]  # more equal labels than a region holds
+        tree = np.repeat([0, 1], [190, 110]).astype(np.int32)
+        order = np.lexsort([*label.T[::-1], tree])
+        tree, label = tree[order], label[order]
+        common = np.cumprod((label[:, None] == label) & (tree[:, None] == tree)[:, :, None], axis=2).sum(2)
+        want = set()
+        for i in range(300):
+            for j in range(i):
+                d = common[i, j]
+                share = (common[i] >= d).sum()
+                head = d == 4 and share > region and not (common[j, :j] == 4).any()
+                if d and (share <= region or i - j <= neighbours or head):
+                    want.add((i, j))
+        got = {(a, b) for i, j in N.candidates(tree, label, 0, 300, neighbours, region) for a, b in zip(i.tolist(), j.tolist())}
+        assert got == want
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join("x" * int(n) + str(i) for i, n in enumerate(rng.integers(0, 40, 500))), "y" * 3000, "a  b\n" * 700, "z" * 900 + " end  ", " " * 700, "one" + " " * 600]
+    for text in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        for width in (1, 2, 3, 5):
+            monkeypatch.setattr(N, "_LONG", 1 << 20)
+            want = N.shingles(raw, np.array([0, len(raw)]), width)
+            for most in (64, 100, 999):
+                monkeypatch.setattr(N, "_LONG", most)
+                got = N.shingles(raw, np.array([0, len(raw)]), width)
+                assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
+
+
+def test_a_group_of_a_million(spark):
+    star = spark.range(1, 1_000_000).select(F.lit(0).cast("bigint").alias("a"), F.col("id").alias("b"))
+    assert N.components(star).agg(F.count("*"), F.max("root")).first()[:] == (1_000_000, 0)

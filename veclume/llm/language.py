@@ -11,7 +11,9 @@ documents of a batch are parsed side by side, one character a step, for all
 languages at once; the automata are laid out as one table of transitions that
 also says how many phrases a step ends.
 
-Cases: a null text or one without letters has no language and is rejected; one
+Cases: a null or empty text or one without letters has no language and is
+rejected; a very long one is parsed to its end; repeated rows are all reported;
+an empty table gives no rows; other columns come along whatever their names; one
 of ``judge_chars`` or more that costs over ``max_bits`` a character in every
 language is rejected as none of them, keeping its nearest language; shorter ones
 are accepted. Equal costs go to the label that sorts first. Letters no label has

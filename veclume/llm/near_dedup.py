@@ -1,28 +1,35 @@
 """MinHash near-duplicate groups from an LSH forest.
 
 Every document gets ``trees`` labels of ``depth`` min-hash values and a compact
-sketch. Each tree is one sorted order of its labels. A document's candidates in
-a tree are the ``neighbours`` documents before it with which it shares the
-longest label prefixes; where many documents share a short prefix these
-neighbours share a long one, and where few do, a prefix of one value suffices,
-so the depth adapts to the region. A candidate pair becomes an edge if the
-sketches put its Jaccard similarity at ``threshold`` or more, and connected
-components of the edges are the groups. A region of any size stays connected
-through its chain of neighbours, so nothing is capped.
+sketch. Each tree is one sorted order of its labels, in which rows that share a
+prefix stand together. The length of the prefix that counts adapts to the region:
+a row's region is the shortest shared prefix, of one value at least, that no more
+than ``region`` rows have, and all pairs of a region are candidates. So where few
+documents share a value one is enough, and where many do it takes more. Besides,
+every row is a candidate with the ``neighbours`` rows before it, which share its
+longest prefixes, so that rows of crowded places that have no region have
+partners too, and rows whose labels are equal throughout, which no longer prefix
+can part, meet the first of them however many they are. A candidate pair becomes
+an edge if the sketches put its Jaccard similarity at ``threshold`` or more, and
+connected components of the edges are the groups.
 
 Words are runs of letters and digits, lower case, so that copies with other
 punctuation or capitals are near; a text without any is taken by what stands
 between its white space.
 
-Cases: a null or blank text has no words and is in no group; a null doc_id can
-be named by no group and is left alone; rows that repeat a doc_id are copies of
-one document; fewer than ``shingle`` words make a single shingle; ties go to the
-smallest doc_id. Other columns, whatever their names, aren't read.
+Cases: a null, empty or blank text has no words and is in no group; a null doc_id
+can be named by no group and is left alone; rows that repeat a doc_id are copies
+of one document; repeated rows and equal texts are one group however many; fewer
+than ``shingle`` words make a single shingle; a very long text is hashed in
+parts, with the shingles of the whole; ties go to the smallest doc_id; an empty
+table has no groups. Other columns, whatever their names, aren't read. Ids are
+whole numbers, and one that can't be cast to BIGINT ends the job.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +49,41 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * U(2) + U(1)
 
 
+#: A single text of more bytes is hashed in parts of about so many.
+_LONG = 4 << 20
+
+
+def _blank(raw: np.ndarray) -> np.ndarray:
+    return (raw == 32) | ((raw >= 9) & (raw <= 13))
+
+
 def shingles(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the word shingles of consecutive documents, and how many each document has."""
+    if len(offsets) != 2 or len(raw) <= _LONG:
+        return _shingles(raw, offsets, width)
+    out, lo, step, n = [np.zeros(0, U)], 0, _LONG, len(raw)
+    while lo < n:
+        hi = min(n, lo + step)
+        if hi < n:  # to the end of a word
+            ends = np.flatnonzero(_blank(raw[hi : hi + _LONG]))
+            if not len(ends):
+                step += _LONG
+                continue
+            hi += int(ends[0])
+        space = _blank(raw[lo:hi])
+        starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))
+        if len(starts) < width and hi < n:
+            step += _LONG
+            continue
+        if len(starts) >= width or len(out) == 1:
+            out.append(_shingles(raw[lo:hi], np.array([0, hi - lo]), width)[0])
+        # the next part begins with the words that shingles across the border need
+        lo, step = (hi if hi == n or width == 1 else lo + int(starts[1 - width])), _LONG
+    whole = np.concatenate(out)
+    return whole, np.array([len(whole)])
+
+
+def _shingles(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     n, docs = len(raw), len(offsets) - 1
     space = np.ones(n + 1, bool)
     space[:n] = (raw == 32) | ((raw >= 9) & (raw <= 13))
@@ -173,35 +213,74 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]].reshape(len(column), -1).view(kind)
 
 
-def edges(rows: DataFrame, threshold: float, neighbours: int) -> DataFrame:
-    """Pairs (a < b) of documents that are neighbours in some tree and alike. The scan streams: it holds a batch and ``neighbours`` rows."""
+def candidates(tree: np.ndarray, label: np.ndarray, first: int, last: int, neighbours: int, region: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), j < i, of rows in sorted order that are candidates, for i from ``first`` to ``last``.
+
+    Right for rows that have ``region`` rows after them or none at all, and
+    twice as many before them or all.
+    """
+    n, depth = label.shape
+    if not n:
+        return
+    same = (label[1:] == label[:-1]) & (tree[1:] == tree[:-1])[:, None]
+    prefix = np.concatenate([[0], np.cumprod(same, axis=1, dtype=np.int8).sum(1)])
+    # how many rows share the first d values with a row
+    size = np.empty((depth + 1, n), np.int64)
+    size[0] = n + region
+    for d in range(1, depth + 1):
+        run = np.cumsum(prefix < d)
+        size[d] = np.bincount(run)[run]
+    at = np.arange(first, last)
+    long = at[size[depth, at] > region]
+    if len(long):
+        begun = np.maximum.accumulate(np.where(prefix < depth, np.arange(n), 0))
+        head = begun[long]
+        yield long[head < long], head[head < long]
+    common = np.full(len(at), depth, np.int64)
+    for back in range(1, max(region, neighbours + 1)):
+        common = np.minimum(common, prefix[at - back + 1])
+        live = (common > 0) & (at >= back)
+        live &= (back <= neighbours) | (size[common, at] <= region)
+        at, common = at[live], common[live]
+        if not len(at):
+            break
+        yield at, at - back
+
+
+def edges(rows: DataFrame, threshold: float, neighbours: int, region: int) -> DataFrame:
+    """Pairs (a < b) of documents that are candidates in some tree and alike. The scan streams: it holds a batch and a few regions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            twins = batch.filter(pc.less(batch.column(0), 0))
-            if twins.num_rows:
-                pair = np.stack([twins.column(3).to_numpy(zero_copy_only=False), twins.column(4).to_numpy(zero_copy_only=False)], 1)
-                yield pa.RecordBatch.from_arrays([pa.array(pair.min(1)), pa.array(pair.max(1))], names=["a", "b"])
-                batch = batch.filter(pc.greater_equal(batch.column(0), 0))
-            if not batch.num_rows:
+        held, done = None, 0
+        for batch in chain(batches, (None,)):
+            if batch is not None:
+                twins = batch.filter(pc.less(batch.column(0), 0))
+                if twins.num_rows:
+                    pair = np.stack([twins.column(3).to_numpy(zero_copy_only=False), twins.column(4).to_numpy(zero_copy_only=False)], 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair.min(1)), pa.array(pair.max(1))], names=["a", "b"])
+                    batch = batch.filter(pc.greater_equal(batch.column(0), 0))
+                if not batch.num_rows:
+                    continue
+                now = (batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), "<u4"), _matrix(batch.column(2), "<u8"), batch.column(3).to_numpy(zero_copy_only=False))
+                held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
+            if held is None:
+                continue
+            tree, label, mark, ids = held
+            last = len(ids) if batch is None else len(ids) - region
+            if last <= done:
                 continue
-            now = (batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1), "<u4"), _matrix(batch.column(2), "<u8"), batch.column(3).to_numpy(zero_copy_only=False))
-            old = 0 if held is None else len(held[0])
-            tree, label, mark, ids = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
             lows, highs = [], []
-            for back in range(1, neighbours + 1):
-                at = np.arange(max(old, back), len(ids))
-                # a shared prefix of at least one value, in one tree; the nearest rows share the longest
-                at = at[(tree[at] == tree[at - back]) & (label[at, 0] == label[at - back, 0])]
-                at = at[likeness(mark[at], mark[at - back]) >= threshold]
-                a, b = ids[at], ids[at - back]
+            for i, j in candidates(tree, label, done, last, neighbours, region):
+                near = likeness(mark[i], mark[j]) >= threshold
+                a, b = ids[i[near]], ids[j[near]]
                 lows.append(np.minimum(a, b))
                 highs.append(np.maximum(a, b))
-            held = tuple(x[-neighbours:] for x in (tree, label, mark, ids))
-            low, high = np.concatenate(lows), np.concatenate(highs)
-            pairs = np.unique(np.stack([low, high], 1)[low != high], axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            keep = max(0, last - 2 * region)
+            held, done = tuple(x[keep:].copy() for x in held), last - keep
+            if lows:
+                low, high = np.concatenate(lows), np.concatenate(highs)
+                pairs = np.unique(np.stack([low, high], 1)[low != high], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     head = F.coalesce(F.substring("label", 1, 4), F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 4).cast("binary"))
     cut = rows.withColumn("head", head).repartition("tree", "head").sortWithinPartitions("tree", "label", "doc_id")
@@ -211,19 +290,22 @@ def edges(rows: DataFrame, threshold: float, neighbours: int) -> DataFrame:
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b): the smallest node it is connected with.
 
-    Alternates the large-star and small-star steps, each a shuffle of the
-    edges; the rounds grow with the logarithm of the longest path.
+    Alternates the large-star and small-star steps. The smallest neighbour of a
+    node comes from partial minima and is joined back, so that no task sorts
+    all neighbours of a large group's root; the rounds grow with the logarithm
+    of the longest path.
     """
     pairs, seen = materialise(pairs.select("a", "b"), "edges"), None
     while True:
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialise(both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "stars")
         # every (u, v) here has v < u
-        low = F.min("v").over(Window.partitionBy("u"))
-        small = large.withColumn("m", low).select(F.explode(F.array("u", "v")).alias("b"), F.col("m").alias("a")).filter("a < b").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("b"), F.col("m").alias("a")).filter("a < b").distinct()
         before, pairs = pairs, materialise(small.select("a", "b"), "edges")
         discard(before)
+        discard(large)
         state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             break
@@ -232,9 +314,9 @@ def components(pairs: DataFrame) -> DataFrame:
     return nodes.unionByName(pairs.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.45, trees: int = 12, depth: int = 8, shingle: int = 3, neighbours: int = 4, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.45, trees: int = 12, depth: int = 8, shingle: int = 3, neighbours: int = 4, seed: int = 7, region: int = 32) -> DataFrame:
     """(doc_id, group_id, keep) of every document that has a near duplicate; group_id is the group's smallest doc_id, which is kept."""
-    found = components(edges(forest(docs, trees, depth, shingle, seed), threshold, neighbours))
+    found = components(edges(forest(docs, trees, depth, shingle, seed), threshold, neighbours, region))
     return found.select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"), (F.col("node") == F.col("root")).alias("keep"))
 
 

@@ -5,12 +5,16 @@ what follows is the completion of each. A turn is rendered as
 ``<|im_start|>role\\ntext<|im_end|>\\n``. A completion's mask is the list of its
 spans that are trained on, in characters: what the assistant says, with the end
 mark. Everything else of it (other roles, headers) is masked, as is the prompt.
+A role or text that has one of the two marks in it is rendered with a blank
+before the mark's ``|>``, so that no words can open or end a turn.
 
 Cases: turns are equal if role and text are, nulls being equal to each other; a
 null role is rendered as ``user`` and a null text as empty; if one conversation
 begins the other, its completion is empty; alike conversations express no
-preference and give no row; a null conversation has no turns; a null id stays
-null; repeated pairs are all formatted.
+preference and give no row; a null or empty conversation has no turns; a very
+long text is rendered whole; a null id stays null; repeated pairs are all
+formatted; an empty table gives no rows; other columns, whatever their names,
+aren't read; ids may be of any type.
 """
 
 from __future__ import annotations
@@ -26,6 +30,13 @@ TURNS = "array<struct<role:string,text:string>>"
 IGNORED = -100
 
 
+def _plain(part: str) -> str:
+    """A role or text in which the marks of turns are no marks any more."""
+    for mark in (OPEN, CLOSE):
+        part = f"replace({part}, '{mark}', '{mark[:-2]} |>')"
+    return part
+
+
 def _rendered(turns: str) -> str:
     return f"transform({turns}, t -> concat('{OPEN}', coalesce(t.role, 'user'), '\\n', coalesce(t.text, ''), '{CLOSE}\\n'))"
 
@@ -45,7 +56,8 @@ def format_preferences(pairs: DataFrame, pair_id: str = "pair_id", chosen: str =
     p = pairs.select(F.col(pair_id).alias("pair_id"), *(F.coalesce(F.col(c).cast(TURNS), F.expr(f"cast(array() as {TURNS})")).alias(n) for c, n in ((chosen, "c"), (rejected, "r"))))
     apart = "filter(sequence(0, least(size(c), size(r))), i -> i = least(size(c), size(r)) OR NOT (get(c, i) <=> get(r, i)))[0]"
     p = p.withColumn("n", F.expr(apart)).filter("n < greatest(size(c), size(r))")
-    p = p.select("pair_id", "n", F.expr("slice(c, 1, n)").alias("same"), F.expr("slice(c, n + 1, size(c))").alias("c"), F.expr("slice(r, n + 1, size(r))").alias("r"))
+    plain = lambda turns: F.expr(f"transform({turns}, t -> named_struct('role', {_plain('t.role')}, 'text', {_plain('t.text')}))")
+    p = p.select("pair_id", "n", plain("slice(c, 1, n)").alias("same"), plain("slice(c, n + 1, size(c))").alias("c"), plain("slice(r, n + 1, size(r))").alias("r"))
     whole = lambda turns, name: F.expr(f"array_join({_rendered(turns)}, '')").alias(name)
     return p.select(
         "pair_id", F.col("n").alias("prompt_turns"), whole("same", "prompt"), whole("c", "chosen"), whole("r", "rejected"), F.expr(_spans("c")).alias("chosen_spans"), F.expr(_spans("r")).alias("rejected_spans")

@@ -94,8 +94,13 @@ WITH c AS (
   FROM l WHERE last IS NOT NULL
 ), n AS (
   SELECT *, list_min(list_filter(range(0, least(len(a), len(b)) + 1), lambda i: i = least(len(a), len(b)) OR a[i + 1] IS DISTINCT FROM b[i + 1])) AS n FROM p
-), t AS (
+), w AS (
   SELECT conv_id, n, a[1:n] AS s, a[n + 1:] AS c, b[n + 1:] AS r FROM n WHERE n < greatest(len(a), len(b))
+), t AS (
+  SELECT conv_id, n, list_transform(s, lambda x: struct_pack(r := replace(replace(x.r, '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>'), t := replace(replace(x.t, '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>'))) AS s,
+    list_transform(c, lambda x: struct_pack(r := replace(replace(x.r, '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>'), t := replace(replace(x.t, '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>'))) AS c,
+    list_transform(r, lambda x: struct_pack(r := replace(replace(x.r, '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>'), t := replace(replace(x.t, '<|im_start|>', '<|im_start |>'), '<|im_end|>', '<|im_end |>'))) AS r
+  FROM w
 ), h AS (
   SELECT *,
     list_transform(s, lambda x: '<|im_start|>' || coalesce(x.r, 'user') || chr(10) || coalesce(x.t, '') || '<|im_end|>' || chr(10)) AS sp,
@@ -137,6 +142,17 @@ WITH l AS (
 SELECT doc_id, line_no, fd AS keep_doc_id, fl AS keep_line_no, CAST(0 AS INTEGER) AS edits FROM f WHERE doc_id <> fd OR line_no <> fl
 UNION ALL
 SELECT doc_id, line_no, kd, kl, e FROM p WHERE r = 1
+""",
+    "op7_nearest": r"""
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL
+), s AS (
+  SELECT a.vec_id, b.vec_id AS neighbour_id, round(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))), 6) AS distance
+  FROM v a, v b WHERE a.vec_id <> b.vec_id
+), r AS (
+  SELECT vec_id, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank, neighbour_id, distance FROM s
+)
+SELECT * FROM r WHERE rank <= 10
 """,
     "op8_top_k": r"""
 WITH d AS (

@@ -15,7 +15,10 @@ a document's score is the sum of its local scores, one a site, none negative.
    bound go.
 3. The scores of those that remain are resolved exactly, and the best k stay.
 
-Cases: equal scores go by doc_id; documents that share no word with a query
+Cases: an empty table of queries or documents gives no rows; a very long text is
+hashed in parts and scored as a whole; other columns, whatever their names,
+aren't read; ids of documents are whole numbers, and one that can't be cast to
+BIGINT ends the job; equal scores go by doc_id; documents that share no word with a query
 aren't results, so a query may have fewer than k; a null or empty text matches
 nothing but counts as a document; a null doc_id takes no part; of rows that
 repeat a doc_id the one with the most words (then the largest word list) counts.
