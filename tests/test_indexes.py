@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from veclume.functions.codes import PQConfig
 from veclume.operators import graph as G
 from veclume.operators import indexes as X
 from veclume.operators import maintenance as T
@@ -84,6 +85,29 @@ def test_quantized_recall(spark, make, least):
     assert len(true & {r.id for r in got.collect()}) >= least
 
 
+def test_written_indexes_read_codes(spark, tmp_path):
+    docs, vectors = _docs(spark, 120, 16)
+    pq = X.PQIndex.train(docs, PQConfig(16, 4, 4, iterations=3), QuantizedConfig().with_reranking(30))
+    for n, index in enumerate((X.SQ8Index.fit(docs, 16), X.BinaryIndex(16, docs, True), pq)):
+        want = [tuple(r) for r in index.search(vectors[3], 5).collect()]
+        index.write(f"file://{tmp_path}/{n}")
+        again = type(index).read(spark, f"file://{tmp_path}/{n}")
+        found = again.search(vectors[3], 5)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert [tuple(r) for r in found.collect()] == want and want[0][0] == "doc3"
+        assert plan.count("ArrowEvalPython") <= 2 and (n == 2 or "embedding" not in plan.split("ReadSchema")[1])
+        assert again.add(docs.limit(1)).len() == 121
+    with pytest.raises(ValueError):
+        X.SQ8Index.read(spark, f"file://{tmp_path}/1")
+
+
+def test_codes_of_both_tiers_agree(spark):
+    docs, _ = _docs(spark, 60, 16)
+    sq, pq = X.SQ8Index.fit(docs, 16), X.PQIndex.train(docs, PQConfig(16, 4, 3, iterations=3), QuantizedConfig().with_reranking(30))
+    assert sq.documents.filter(sq.quantizer.quantize("embedding") != F.col("sq8")).count() == 0
+    assert pq.documents.filter(pq.quantizer.encode("embedding") != F.col("pq")).count() == 0
+
+
 def test_reranking_widens_to_k(spark):
     assert QuantizedConfig(ef_search=5).with_reranking(8).beam(20) == 20
     assert QuantizedConfig().beam(10) == 50
@@ -100,6 +124,9 @@ def test_local_store(spark, tmp_path):
     other = X.LocalStore(spark, 2)
     other.load(f"file://{tmp_path}/one")
     assert other.document_count() == 1 and other.embedding_dim() == 2 and not other.is_ann()
+    near = X.LocalStore(spark, 2, use_ann=True, cells=2)
+    near.add_documents(other.index.documents)
+    assert near.search([1, 1], 1).first().id == "a" and near._ann[0] is near.index
     local.clear()
     assert local.document_count() == 0
     with pytest.raises(ValueError):

@@ -56,6 +56,54 @@ def test_log_then_checkpoint_then_tail(spark, tmp_path):
     assert len(seqs) == len(set(seqs))
 
 
+def test_a_checkpoint_keeps_appends_that_come_meanwhile(spark, tmp_path, monkeypatch):
+    s = store.SnapshotStore(spark, f"file://{tmp_path}/s")
+    s.log_add(_docs(spark, ["a"]))
+    whole = s._state
+
+    def late(manifest, parts):
+        state = whole(manifest, parts)
+        s.log_add(_docs(spark, ["late"]))  # after the state is taken, before its parts are dropped
+        return state
+
+    monkeypatch.setattr(s, "_state", late)
+    s.checkpoint()
+    again = store.SnapshotStore(spark, f"file://{tmp_path}/s")
+    assert sorted(r.id for r in again.state().collect()) == ["a", "late"]
+    again.checkpoint()
+    assert sorted(r.id for r in again.snapshot().collect()) == ["a", "late"] and again.pending().count() == 0
+
+
+@pytest.mark.parametrize("step", ["rename", "delete"])
+def test_a_crash_between_the_steps_of_a_checkpoint(spark, tmp_path, monkeypatch, step):
+    s = store.SnapshotStore(spark, f"file://{tmp_path}/s")
+    s.log_add(_docs(spark, ["a", "b"]))
+    s.checkpoint()
+    s.log_add(_docs(spark, ["c"]))
+    s.log_remove(_docs(spark, ["a"]).select("id"))
+
+    def crash(*_):
+        raise RuntimeError("crash")
+
+    monkeypatch.setattr(s.files, "write" if step == "rename" else "delete", crash)
+    with pytest.raises(RuntimeError):
+        s.checkpoint()
+    again = store.SnapshotStore(spark, f"file://{tmp_path}/s")
+    assert sorted(r.id for r in again.state().collect()) == ["b", "c"]
+    again.log_add(_docs(spark, ["d"]))
+    again.checkpoint()
+    assert sorted(r.id for r in again.snapshot().collect()) == ["b", "c", "d"] and again.log().count() == 0
+
+
+def test_files_are_replaced_whole(spark, tmp_path):
+    files = store.Files(spark, f"file://{tmp_path}")
+    at = f"file://{tmp_path}/one.json"
+    for text in ("first", "second"):
+        files.write(at, text)
+        assert files.read(at) == text
+    assert len([f for f in os.listdir(tmp_path) if not f.startswith(".")]) == 1
+
+
 def test_a_changed_log_is_noticed(spark, tmp_path):
     s = store.SnapshotStore(spark, f"file://{tmp_path}/s")
     s.log_add(_docs(spark, ["a"]))
@@ -184,6 +232,7 @@ def test_streaming_ingest(spark, tmp_path):
         stream = spark.readStream.schema(T.DOCUMENT).parquet(source)
         I.stream_into(stream, s, 2, f"file://{tmp_path}/ck", on_progress=seen.append).awaitTermination(120)
     assert sorted(r.id for r in s.state().collect()) == ["a", "b", "c"] and len(seen) == 2
+    assert all(p.elapsed_ms > 0 and p.docs_per_sec() > 0 for p in seen)
     # a micro-batch that is written again replaces itself
     s.log_add(_docs(spark, ["c"]), batch=1)
     assert s.log().count() == 3
@@ -217,8 +266,10 @@ def test_embedding(spark, tmp_path):
     for _ in range(2):
         rows = {r.id: r.embedding for r in cached.embed(docs).collect()}
         assert rows[1] == rows[2] == pytest.approx(one(["x y"])[0].tolist()) and rows[3] is None
-    assert spark.read.parquet(f"file://{tmp_path}/texts").count() == 2
+    assert spark.read.parquet(f"file://{tmp_path}/texts").count() == cached.cache_size(spark) == 2
     assert cached.stats(docs).first()[:] == (3, 2, round(1 / 3, 6))
+    cached.clear_cache(spark)
+    assert cached.cache_size(spark) == 0
     with pytest.raises(RuntimeError):
         E.embed_column("content", None)
     assert E.sine_embed("", 2) == [0.0, 0.0]

@@ -11,6 +11,7 @@ import math
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,6 +79,21 @@ class ScalarQuantizer:
 
     distance_quantized, distance_asymmetric = symmetric, asymmetric
 
+    def _arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        low, high = (np.array(x, np.float32) for x in (self.low, self.high))
+        return low, np.where(high > low, ((high - low).astype(np.float64) / 255.0).astype(np.float32), np.float32(1))
+
+    def codes_of(self, x: np.ndarray) -> np.ndarray:
+        """``quantize`` for rows of a matrix."""
+        low, scale = self._arrays()
+        step = ((x.astype(np.float32) - low).astype(np.float64) / scale.astype(np.float64)).astype(np.float32)
+        return np.where(np.isnan(step), 0, np.clip(np.floor(step), 0, 255)).astype(np.int16)
+
+    def values_of(self, codes: np.ndarray) -> np.ndarray:
+        """``dequantize`` for rows of a matrix."""
+        low, scale = self._arrays()
+        return codes.astype(np.float32) * scale + low
+
 
 def sq8_scale(low: Column, high: Column) -> Column:
     return F.when(high > low, ((high - low).cast("double") / F.lit(255.0)).cast("float")).otherwise(F.lit(1.0).cast("float"))
@@ -239,6 +255,23 @@ class ProductQuantizer:
         both = F.arrays_zip(_col(a).alias("a"), _col(b).alias("b"))
         return F.sqrt(total(F.transform(both, lambda p, m: at(m, p["a"], p["b"]) * at(m, p["a"], p["b"]))))
 
+    def arrays(self) -> np.ndarray:
+        """The codebooks as (subspace, centroid, element)."""
+        return np.array(self.books, np.float32).astype(np.float64)
+
+    def codes_of(self, x: np.ndarray) -> np.ndarray:
+        """``encode`` for rows of a matrix."""
+        d, out = self.config.sub_dim, []
+        for m, book in enumerate(self.arrays()):
+            part = x[:, m * d : (m + 1) * d].astype(np.float32).astype(np.float64)
+            out.append(np.concatenate([((part[lo : lo + 512, None] - book) ** 2).sum(2).argmin(1) for lo in range(0, len(part), 512)] or [np.zeros(0, int)]))
+        return np.stack(out, 1).astype(np.int16)
+
+    def values_of(self, codes: np.ndarray) -> np.ndarray:
+        """``decode`` for rows of a matrix."""
+        codes = codes.astype(np.int64)
+        return np.concatenate([book[codes[:, m]] for m, book in enumerate(self.arrays())], axis=1)
+
     def error(self, v: Vector) -> Column:
         """Distance of a vector from what its codes stand for."""
         return l2(v, self.decode(self.encode(v)))

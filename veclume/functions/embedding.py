@@ -175,6 +175,15 @@ class CachedEmbedder:
             known = held.unionByName(new)
         return keyed.join(known, "__digest", "left").drop("__digest")
 
+    def cache_size(self, spark) -> int:
+        """How many texts the stored table knows."""
+        return self._held(spark).count()
+
+    def clear_cache(self, spark) -> None:
+        if self.store:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.store)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def stats(self, docs: DataFrame, text: str = "content") -> DataFrame:
         """(total, distinct_texts, hit_rate): the share of texts that repeat an earlier one."""
         n, d = F.count(text), F.countDistinct(text)

@@ -9,6 +9,8 @@ would; a null vector gives null.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -108,6 +110,25 @@ def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
 
+def arrow_rows(v: Vector, of: Callable[[np.ndarray], np.ndarray], kind: str) -> Column:
+    """``of`` of a list column's rows as a matrix, a value or a list each, in the Arrow tier. Null rows stay null."""
+
+    def run(x: pa.Array) -> pa.Array:
+        here = np.flatnonzero(~x.is_null().to_numpy(zero_copy_only=False))
+        out = of(matrix(x.take(pa.array(here)))) if len(here) else np.zeros(0)
+        if out.ndim == 1:
+            whole = np.zeros(len(x), out.dtype)
+            whole[here] = out
+            return pa.array(whole, mask=~np.isin(np.arange(len(x)), here))
+        ends = np.zeros(len(x) + 1, np.int32)
+        ends[here + 1] = out.shape[1]
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(out.ravel()))
+        return lists if len(here) == len(x) else pa.array([y if k else None for y, k in zip(lists.to_pylist(), np.isin(np.arange(len(x)), here))], lists.type)
+
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, kind)(_col(v))
+
+
 def arrow_score(a: Vector, b: Vector, metric: str = "cosine") -> Column:
     """Score of two columns row by row, in the Arrow tier."""
 

@@ -8,7 +8,9 @@ id), also before reranking.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Sequence
+from dataclasses import asdict
 from typing import Protocol
 
 import numpy as np
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veclume.functions.codes import BinaryQuantizer, PQConfig, ProductQuantizer, ScalarQuantizer, binary_memory, pq_memory, sq8_memory
-from veclume.functions.vectors import cosine, literal, matrix
+from veclume.functions.vectors import arrow_rows, cosine, literal, matrix
 from veclume.operators import maintenance
 from veclume.operators.search import DECIMALS, knn_join, top_k
 from veclume.operators.training import fit_scalar, train_cells, train_pq
@@ -172,7 +174,32 @@ class CellIndex(_Index):
         return near.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-class SQ8Index(_Index):
+class _Stored(_Index):
+    """An index whose codes can be written with its rows, and whose model beside them; searches then read codes and encode nothing."""
+
+    model_columns = "kind string, model string"
+
+    def _model(self) -> dict:
+        raise NotImplementedError
+
+    def write(self, path: str):
+        """Rows with codes, and the model. The index then reads from there."""
+        spark = self.documents.sparkSession
+        self.documents.write.mode("overwrite").parquet(f"{path}/rows")
+        spark.createDataFrame([(type(self).__name__, json.dumps(self._model()))], self.model_columns).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+        return self._with(spark.read.schema(self.documents.schema).parquet(f"{path}/rows"))
+
+    @classmethod
+    def read(cls, spark, path: str):
+        row = spark.read.schema(cls.model_columns).parquet(f"{path}/model").first()
+        if row.kind != cls.__name__:
+            raise ValueError(f"{path} holds a {row.kind}")
+        other = object.__new__(cls)
+        other.__dict__ = {**cls._from_model(json.loads(row.model)), "documents": spark.read.parquet(f"{path}/rows")}
+        return other
+
+
+class SQ8Index(_Stored):
     """One byte an element. Candidates by distance of codes, ranked by distance of the query from what the codes stand for."""
 
     def __init__(self, dim: int, documents: DataFrame, quantizer: ScalarQuantizer | None = None, config: QuantizedConfig = QuantizedConfig()):
@@ -184,27 +211,37 @@ class SQ8Index(_Index):
     def fit(cls, documents: DataFrame, dim: int, config: QuantizedConfig = QuantizedConfig()) -> SQ8Index:
         return cls(dim, documents, fit_scalar(documents), config)
 
+    def _model(self) -> dict:
+        return {"dim": self.dim, "low": self.quantizer.low, "high": self.quantizer.high, "config": asdict(self.config)}
+
+    @classmethod
+    def _from_model(cls, m: dict) -> dict:
+        return {"dim": m["dim"], "quantizer": ScalarQuantizer(tuple(m["low"]), tuple(m["high"])), "config": QuantizedConfig(**m["config"])}
+
     def _coded(self, docs: DataFrame) -> DataFrame:
-        return docs.withColumn("sq8", self.quantizer.quantize("embedding"))
+        return docs.withColumn("sq8", arrow_rows("embedding", self.quantizer.codes_of, "array<smallint>"))
+
+    def _far(self, query: Sequence[float]) -> Column:
+        """Distance of codes, the query's worked out once."""
+        codes = self.quantizer.codes_of(np.array([self._check(query)])).astype(np.float64)
+        return arrow_rows("sq8", lambda x: np.sqrt(((x - codes) ** 2).sum(1)), "double")
 
     def candidates(self, query: Sequence[float], n: int) -> DataFrame:
-        codes = self.quantizer.quantize(literal(self._check(query)))
-        rows = self.documents.withColumn("__d", F.round(self.quantizer.symmetric(codes, "sq8"), DECIMALS))
-        return rows.orderBy("__d", "id").limit(n)
+        return self.documents.withColumn("__d", F.round(self._far(query), DECIMALS)).orderBy("__d", "id").limit(n)
 
     def search(self, query: Sequence[float], k: int) -> DataFrame:
-        some = self.candidates(query, self.config.beam(k))
-        return self._best(1 / (1 + self.quantizer.asymmetric(literal(self._check(query)), "sq8")), k, some).select(*RESULT)
+        wanted, values = np.array(self._check(query)), self.quantizer.values_of
+        far = arrow_rows("sq8", lambda x: np.sqrt(((values(x).astype(np.float64) - wanted) ** 2).sum(1)), "double")
+        return self._best(1 / (1 + far), k, self.candidates(query, self.config.beam(k))).select(*RESULT)
 
     def search_symmetric(self, query: Sequence[float], k: int) -> DataFrame:
-        codes = self.quantizer.quantize(literal(self._check(query)))
-        return self._best(1 / (1 + self.quantizer.symmetric(codes, "sq8")), k).select(*RESULT)
+        return self._best(1 / (1 + self._far(query)), k).select(*RESULT)
 
     def memory_usage(self) -> DataFrame:
         return self.documents.agg(sq8_memory(F.count("*"), self.dim).alias("bytes"))
 
 
-class BinaryIndex(_Index):
+class BinaryIndex(_Stored):
     """One bit an element. Full vectors are kept where asked for, for reranking."""
 
     def __init__(self, dim: int, documents: DataFrame, full_precision: bool = False, config: QuantizedConfig = QuantizedConfig()):
@@ -212,6 +249,13 @@ class BinaryIndex(_Index):
         self.quantizer, self.full_precision, self.config = BinaryQuantizer(dim), full_precision, config
         self.documents = self._coded(documents)
 
+    def _model(self) -> dict:
+        return {"dim": self.dim, "full_precision": self.full_precision, "config": asdict(self.config)}
+
+    @classmethod
+    def _from_model(cls, m: dict) -> dict:
+        return {"dim": m["dim"], "quantizer": BinaryQuantizer(m["dim"]), "full_precision": m["full_precision"], "config": QuantizedConfig(**m["config"])}
+
     def _coded(self, docs: DataFrame, full: bool = False) -> DataFrame:
         docs = docs.withColumn("bits", self.quantizer.quantize("embedding"))
         return docs if full or self.full_precision else docs.withColumn("embedding", F.lit(None).cast("array<float>"))
@@ -220,7 +264,11 @@ class BinaryIndex(_Index):
         return self._with(maintenance.append(self.documents, self._coded(maintenance.strict(docs, self.dim), True)))
 
     def _far(self, query: Sequence[float]) -> Column:
-        return self.quantizer.hamming(self.quantizer.quantize(literal(self._check(query))), "bits")
+        query, words = self._check(query), []
+        for lo in range(0, self.dim, 64):
+            word = sum(1 << i for i, x in enumerate(query[lo : lo + 64]) if x >= 0)
+            words.append(word - (1 << 64) if word >> 63 else word)
+        return self.quantizer.hamming(F.array(*(F.lit(w).cast("bigint") for w in words)), "bits")
 
     def search(self, query: Sequence[float], k: int) -> DataFrame:
         return self._best(1 - self._far(query) / self.dim, k).select(*RESULT)
@@ -234,7 +282,7 @@ class BinaryIndex(_Index):
         return self.documents.agg(binary_memory(F.count("*"), self.dim, self.full_precision).alias("bytes"))
 
 
-class PQIndex(_Index):
+class PQIndex(_Stored):
     """A code a subspace. Candidates by the query's table, ranked by it or by cosine on kept vectors."""
 
     def __init__(self, documents: DataFrame, quantizer: ProductQuantizer, config: QuantizedConfig = QuantizedConfig()):
@@ -246,21 +294,35 @@ class PQIndex(_Index):
     def train(cls, documents: DataFrame, pq: PQConfig, config: QuantizedConfig = QuantizedConfig()) -> PQIndex:
         return cls(documents, train_pq(documents, pq), config)
 
+    def _model(self) -> dict:
+        return {"pq": asdict(self.quantizer.config), "books": self.quantizer.books, "config": asdict(self.config)}
+
+    @classmethod
+    def _from_model(cls, m: dict) -> dict:
+        pq = PQConfig(**m["pq"])
+        return {"dim": pq.dim, "quantizer": ProductQuantizer.from_codebooks(pq, m["books"]), "config": QuantizedConfig(**m["config"])}
+
     def _coded(self, docs: DataFrame) -> DataFrame:
-        docs = docs.withColumn("pq", self.quantizer.encode("embedding"))
+        docs = docs.withColumn("pq", arrow_rows("embedding", self.quantizer.codes_of, "array<smallint>"))
         return docs if self.config.store_original else docs.withColumn("embedding", F.lit(None).cast("array<float>"))
 
+    def _far(self, query: Sequence[float]) -> Column:
+        """Distance by the query's table, which is worked out once."""
+        books = self.quantizer.arrays()
+        table = ((books - np.array(self._check(query)).reshape(len(books), 1, -1)) ** 2).sum(2)
+        return arrow_rows("pq", lambda codes: np.sqrt(table[np.arange(len(books)), codes.astype(np.int64)].sum(1)), "double")
+
     def search(self, query: Sequence[float], k: int) -> DataFrame:
         query = self._check(query)
-        far = self.quantizer.with_table(self.quantizer.table_literal(query), "pq")
-        some = self.documents.withColumn("__d", F.round(far, DECIMALS)).orderBy("__d", "id").limit(self.config.beam(k))
+        some = self.documents.withColumn("__far", self._far(query)).withColumn("__d", F.round("__far", DECIMALS)).orderBy("__d", "id").limit(self.config.beam(k))
         if self.config.rerank_candidates:
             return self._best(F.coalesce(cosine("embedding", literal(query)), 1 / (1 + F.col("__d"))), k, some).select(*RESULT)
-        return self._best(1 / (1 + far), k, some).select(*RESULT)
+        return self._best(1 / (1 + F.col("__far")), k, some).select(*RESULT)
 
     def search_symmetric(self, query: Sequence[float], k: int) -> DataFrame:
-        codes = self.quantizer.encode(literal(self._check(query)))
-        return self._best(1 / (1 + self.quantizer.symmetric(codes, "pq")), k).select(*RESULT)
+        """Both sides by their codes: the query is what its own codes stand for."""
+        q = self.quantizer
+        return self._best(1 / (1 + self._far(q.values_of(q.codes_of(np.array([self._check(query)])))[0])), k).select(*RESULT)
 
     def memory_usage(self) -> DataFrame:
         n = F.count("*")
@@ -276,7 +338,7 @@ class LocalStore:
     """The small API of the language bindings: add, search, remove, count, clear, save and load, without metadata unless given."""
 
     def __init__(self, spark, dim: int, use_ann: bool = False, cells: int = 16):
-        self.spark, self.use_ann, self.cells = spark, use_ann, cells
+        self.spark, self.use_ann, self.cells, self._ann = spark, use_ann, cells, None
         self.index = ExactIndex(dim, spark.createDataFrame([], maintenance.DOCUMENT), "append" if use_ann else "replace")
 
     def add_document(self, ident: str, content: str, embedding: Sequence[float], metadata: str | None = None) -> None:
@@ -286,9 +348,12 @@ class LocalStore:
         self.index = self.index.add(docs)
 
     def search(self, query: Sequence[float], k: int) -> DataFrame:
-        if self.use_ann and self.index.documents.count() > 64 * self.cells:
-            return CellIndex.build(self.index.documents, self.index.dim, self.cells).search(query, k)
-        return self.index.search(query, k)
+        """Exactly, or with ``use_ann`` by cells at any size, which are trained once for what the store holds."""
+        if not self.use_ann or self.index.is_empty():
+            return self.index.search(query, k)
+        if self._ann is None or self._ann[0] is not self.index:
+            self._ann = self.index, CellIndex.build(self.index.documents, self.index.dim, self.cells)
+        return self._ann[1].search(query, k)
 
     def remove_document(self, ident: str) -> bool:
         known = not self.index.documents.filter(F.col("id") == ident).isEmpty()

@@ -21,6 +21,7 @@ from veclume.operators import shaping as R
 from veclume.operators import training as K
 from veclume.plans.config import AnnConfig, BatchConfig, PaginationConfig, QuantizedConfig
 from veclume.sources import blobs, store, vecs
+from veclume.sources.scratch import scratch, written
 from veclume.streaming import ingest as I
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -444,13 +445,7 @@ def h9_ann_full_probe(spark, sf):
 
 
 def _shared(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veclume-checkpoint-"))
-    return lambda df: df.checkpoint()
+    return lambda df: written(df, "graph")
 
 
 @query()
@@ -495,18 +490,28 @@ def h16_remove(spark, sf):
 
 # quantized indexes
 
+
+
+def _sq8(spark: SparkSession, sf: str) -> X.SQ8Index:
+    return X.SQ8Index(64, _docs(spark, sf)).write(scratch(spark, "sq8"))
+
+
+def _pq_index(spark: SparkSession, sf: str, config: QuantizedConfig = QuantizedConfig()) -> X.PQIndex:
+    return X.PQIndex(_docs(spark, sf), _pq(spark, sf), config).write(scratch(spark, "pq"))
+
+
 _C0 = "(SELECT c FROM d WHERE id = 0)"
 _V0 = "(SELECT v FROM d WHERE id = 0)"
 
 
 @query(f"WITH {_SQ8_NORM}, k AS (SELECT id, d FROM d ORDER BY round(list_distance(c, {_C0}), 6), id LIMIT 50) SELECT id, round(1 / (1 + list_distance(d, {_V0})), 6) AS score FROM k ORDER BY score DESC, id LIMIT 10")
 def g4_sq8_search(spark, sf):
-    return X.SQ8Index(64, _docs(spark, sf)).search(_first(spark, sf), 10).select("id", "score")
+    return _sq8(spark, sf).search(_first(spark, sf), 10).select("id", "score")
 
 
 @query(f"WITH {_SQ8_NORM} SELECT id, round(1 / (1 + list_distance(c, {_C0})), 6) AS score FROM d ORDER BY score DESC, id LIMIT 10")
 def g5_sq8_sym_search(spark, sf):
-    return X.SQ8Index(64, _docs(spark, sf)).search_symmetric(_first(spark, sf), 10).select("id", "score")
+    return _sq8(spark, sf).search_symmetric(_first(spark, sf), 10).select("id", "score")
 
 
 @query(f"WITH {_SQ8} , w AS (SELECT id, list(c::DOUBLE ORDER BY pos) AS c FROM c GROUP BY id) SELECT id, round(1 / (1 + list_distance(c, (SELECT c FROM w WHERE id = 0))), 6) AS score FROM w ORDER BY score DESC, id LIMIT 10")
@@ -557,17 +562,17 @@ _ADC0 = f"WITH {_PQ}, t AS (SELECT m, k, d2 AS d FROM n WHERE id = 0), a AS (SEL
 
 @query(f"{_ADC0} SELECT id, round(1 / (1 + far), 6) AS score FROM (SELECT * FROM a ORDER BY round(far, 6), id LIMIT 50) ORDER BY score DESC, id LIMIT 10")
 def g17_pq_search(spark, sf):
-    return X.PQIndex(_docs(spark, sf), _pq(spark, sf)).search(_first(spark, sf), 10).select("id", "score")
+    return _pq_index(spark, sf).search(_first(spark, sf), 10).select("id", "score")
 
 
 @query(f"{_ADC0}, k AS (SELECT id FROM a ORDER BY round(far, 6), id LIMIT 80) SELECT id, round({_COS.format(a='embedding::DOUBLE[]', b=_ONE)}, 6) AS score FROM k JOIN embeddings ON vec_id = id ORDER BY score DESC, id LIMIT 10")
 def g17_pq_rerank(spark, sf):
-    return X.PQIndex(_docs(spark, sf), _pq(spark, sf), QuantizedConfig().with_reranking(80)).search(_first(spark, sf), 10).select("id", "score")
+    return _pq_index(spark, sf, QuantizedConfig().with_reranking(80)).search(_first(spark, sf), 10).select("id", "score")
 
 
 @query(f"WITH {_PQ}, a AS (SELECT y.id, sqrt(sum(list_sum(list_transform(range(1, 9), lambda i: (x.c[i] - y.c[i]) * (x.c[i] - y.c[i]))))) AS far FROM code x JOIN code y USING (m) WHERE x.id = 0 GROUP BY y.id) SELECT id, round(1 / (1 + far), 6) AS score FROM a ORDER BY score DESC, id LIMIT 10")
 def g18_pq_sym_search(spark, sf):
-    return X.PQIndex(_docs(spark, sf), _pq(spark, sf)).search_symmetric(_first(spark, sf), 10).select("id", "score")
+    return _pq_index(spark, sf).search_symmetric(_first(spark, sf), 10).select("id", "score")
 
 
 @query("SELECT count(*) * 108 + 4096 + 8192 AS bytes FROM embeddings")
@@ -711,28 +716,16 @@ def f11_identity(spark, sf):
 # sources and storage
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
-        base = "file://" + tempfile.mkdtemp(prefix="veclume-store-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT vec_id AS id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS pos, unnest(embedding) AS x FROM embeddings")
 def s1_fvecs(spark, sf):
-    path = _scratch(spark, "fvecs").removeprefix("file://")
+    path = scratch(spark, "fvecs")
     vecs.write_vecs(_vectors(spark, sf).select("id", F.col("embedding").alias("vector")), path)
     return vecs.read_vecs(spark, path).select("id", F.posexplode("vector").alias("pos", "x"))
 
 
 @query("SELECT o_orderkey AS n, o_custkey AS c FROM orders")
 def s2_ivecs(spark, sf):
-    path = _scratch(spark, "ivecs").removeprefix("file://")
+    path = scratch(spark, "ivecs")
     o = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.array(F.col("o_orderkey").cast("int"), F.col("o_custkey").cast("int")).alias("vector"))
     vecs.write_vecs(o, path, "ivecs")
     return vecs.read_vecs(spark, path, "ivecs").select(F.col("vector")[0].cast("bigint").alias("n"), F.col("vector")[1].cast("bigint").alias("c"))
@@ -753,14 +746,14 @@ def s8_subset_truth(spark, sf):
 
 @query("SELECT vec_id AS id, text AS content, label FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id = 7")
 def s9_document(spark, sf):
-    items = store.ItemStore(spark, _scratch(spark, "items"), "zstd")
+    items = store.ItemStore(spark, scratch(spark, "items"), "zstd")
     items.save("docs", _docs(spark, sf))
     return items.load("docs").filter("id = 7").select("id", "content", F.get_json_object("metadata", "$.label").cast("int").alias("label"))
 
 
 @query(_TOP)
 def s10_flat_roundtrip(spark, sf):
-    items = store.ItemStore(spark, _scratch(spark, "items"), "gzip")
+    items = store.ItemStore(spark, scratch(spark, "items"), "gzip")
     items.save("flat", _vectors(spark, sf), item_type="flat")
     return S.top_k(items.load("flat"), _first(spark, sf), 10, keep=("label",))
 
@@ -768,13 +761,13 @@ def s10_flat_roundtrip(spark, sf):
 @query(ORACLE_SQL["h9_ann_full_probe"])
 def s11_ann_roundtrip(spark, sf):
     """The cells are kept with the rows; nothing is rebuilt on reading."""
-    index = _cells(spark, sf).write(_scratch(spark, "cells"))
+    index = _cells(spark, sf).write(scratch(spark, "cells"))
     return index.search(_first(spark, sf), 10, ef=8).drop("metadata")
 
 
 @query("SELECT * FROM (VALUES ('a', 'flat', 'none'), ('b', 'document', 'none')) t(name, item_type, codec)")
 def s14_catalog(spark, sf):
-    items = store.ItemStore(spark, _scratch(spark, "items"))
+    items = store.ItemStore(spark, scratch(spark, "items"))
     items.save("b", _docs(spark, sf).limit(3))
     items.save("a", _vectors(spark, sf).limit(3), item_type="flat")
     items.save("c", _vectors(spark, sf).limit(1))
@@ -804,7 +797,7 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT count(*) AS n, CAST(count(*) FILTER (vec_id < 50) AS BIGINT) AS removed, CAST(1 AS BIGINT) AS cleared FROM embeddings")
 def w2_log(spark, sf):
-    s = store.SnapshotStore(spark, _scratch(spark, "log"))
+    s = store.SnapshotStore(spark, scratch(spark, "log"))
     docs = _docs(spark, sf)
     s.log_add(docs)
     s.log_remove(docs.filter("id < 50").select("id"))
@@ -814,7 +807,7 @@ def w2_log(spark, sf):
 
 @query("SELECT count(*) AS n, true AS all_good FROM embeddings")
 def w3_checksum(spark, sf):
-    s = store.SnapshotStore(spark, _scratch(spark, "log"))
+    s = store.SnapshotStore(spark, scratch(spark, "log"))
     s.log_add(_docs(spark, sf))
     return s.log().agg(F.count("*").alias("n"), F.every(F.col("checksum") == store.checksum()).alias("all_good"))
 
@@ -838,7 +831,7 @@ def w5_replay_append(spark, sf):
 def w6_needs_checkpoint(spark, sf):
     from veclume.plans.config import LogConfig
 
-    base = _scratch(spark, "log")
+    base = scratch(spark, "log")
     s = store.SnapshotStore(spark, base)
     s.log_add(_docs(spark, sf))
     small = store.SnapshotStore(spark, base, LogConfig(max_log_bytes=1))
@@ -848,7 +841,7 @@ def w6_needs_checkpoint(spark, sf):
 @query("SELECT vec_id AS id, CASE WHEN vec_id % 10 = 5 THEN 'new' ELSE text END AS content FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE vec_id >= 20")
 def w7_checkpoint(spark, sf):
     """Add, remove, checkpoint, then a tail of changes on top."""
-    s = store.SnapshotStore(spark, _scratch(spark, "store"))
+    s = store.SnapshotStore(spark, scratch(spark, "store"))
     docs = _docs(spark, sf)
     s.log_add(docs)
     s.log_remove(docs.filter("id < 20").select("id"))
@@ -859,7 +852,7 @@ def w7_checkpoint(spark, sf):
 
 @query("SELECT count(*) AS documents FROM embeddings WHERE vec_id >= 20")
 def w8_load_checkpoint(spark, sf):
-    s = store.SnapshotStore(spark, _scratch(spark, "store"))
+    s = store.SnapshotStore(spark, scratch(spark, "store"))
     docs = _docs(spark, sf)
     s.log_add(docs)
     s.log_remove(docs.filter("id < 20").select("id"))
@@ -869,7 +862,7 @@ def w8_load_checkpoint(spark, sf):
 
 @query("SELECT CAST(1 AS BIGINT) AS checkpoint_id, count(*) AS documents, CAST(5 AS BIGINT) AS pending_ops FROM embeddings")
 def w9_stats(spark, sf):
-    s = store.SnapshotStore(spark, _scratch(spark, "store"))
+    s = store.SnapshotStore(spark, scratch(spark, "store"))
     docs = _docs(spark, sf)
     s.log_add(docs)
     s.checkpoint()
@@ -931,7 +924,7 @@ def e6_cache_stats(spark, sf):
 @query()
 def e6_cached_embed(spark, sf):
     d = _table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
-    return E.CachedEmbedder(E.hashing_embedder(32), _scratch(spark, "embedded")).embed(d).select("doc_id", "embedding")
+    return E.CachedEmbedder(E.hashing_embedder(32), scratch(spark, "embedded")).embed(d).select("doc_id", "embedding")
 
 
 @query()
@@ -953,7 +946,7 @@ def a8_local_store(spark, sf):
 
 @query("SELECT count(*) AS n FROM embeddings WHERE vec_id < 40")
 def a4_save_load(spark, sf):
-    path, local, other = _scratch(spark, "local"), X.LocalStore(spark, 64), X.LocalStore(spark, 64)
+    path, local, other = scratch(spark, "local"), X.LocalStore(spark, 64), X.LocalStore(spark, 64)
     local.add_documents(_docs(spark, sf).filter("id < 40").withColumn("id", F.col("id").cast("string")))
     local.save(path)
     other.load(path)
@@ -1027,9 +1020,9 @@ def m6_analysis(spark, sf):
 @query("SELECT library, algorithm, qps FROM (" + _RUNS + " SELECT library, algorithm, qps FROM r)")
 def s18_results(spark, sf):
     """A report written as one JSON array and read again."""
-    path = _scratch(spark, "results")
-    _runs(spark, sf).coalesce(1).write.json(path)
-    return spark.read.schema(M.RESULT_SCHEMA).json(path).select("library", "algorithm", "qps")
+    path = scratch(spark, "results")
+    _runs(spark, sf).agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).write.text(path)
+    return vecs.read_results(spark, path).select("library", "algorithm", "qps")
 
 
 @query(f"{_V} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.e, b.e), 6) AS score FROM v a, v b WHERE a.vec_id <= b.vec_id AND a.vec_id < 150 AND b.vec_id < 150")

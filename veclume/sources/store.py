@@ -1,7 +1,7 @@
 """Storage of documents: a catalogue of items, and snapshots with a log of changes.
 
-A snapshot is a folder of Parquet, and the manifest, replaced by a rename, names
-the one that counts. A log is a folder of Parquet parts; each change has a
+A snapshot is a folder of Parquet, and the manifest, whose last version is the
+one that counts, names it. A log is a folder of Parquet parts; each change has a
 sequence number and a checksum. The state is the snapshot with the log's tail
 replayed on it: of each id the last change after the last clear.
 """
@@ -13,7 +13,7 @@ import re
 import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veclume.operators.maintenance import DOCUMENT
@@ -44,20 +44,37 @@ class Files:
     def size(self, name: str) -> int:
         return self.fs.getContentSummary(self.path(name)).getLength() if self.exists(name) else 0
 
+    def _versions(self, name: str) -> list[int]:
+        folder, _, base = name.rpartition("/")
+        return sorted(int(n.rpartition(".")[2]) for n in self.list(folder) if n.startswith(f"{base}.") and n.rpartition(".")[2].isdigit())
+
     def write(self, name: str, text: str) -> None:
-        """All or nothing: a file of another name, then a rename."""
-        new = self.path(f"{name}.{uuid.uuid4().hex}.tmp")
+        """All or nothing: the next version is a file of its own, there whole once it is renamed, and older ones go after it.
+
+        Of two writers at once the second fails, since a rename replaces no file.
+        """
+        known = self._versions(name)
+        new, at = self.path(f"{name}.{uuid.uuid4().hex}.tmp"), self.path(f"{name}.{(known[-1] if known else 0) + 1:010d}")
         out = self.fs.create(new, True)
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        self.fs.delete(self.path(name), False)
-        if not self.fs.rename(new, self.path(name)):
-            raise OSError(f"{name} could not be replaced")
+        if self.fs.exists(at) or not self.fs.rename(new, at):
+            self.fs.delete(new, False)
+            raise OSError(f"{name} was replaced by another writer")
+        for n in known:
+            self.delete(f"{name}.{n:010d}")
+
+    def written(self, name: str) -> bool:
+        return bool(self._versions(name))
 
     def read(self, name: str) -> str:
-        handle = self.fs.open(self.path(name))
+        """The last version of a file that ``write`` wrote."""
+        known = self._versions(name)
+        if not known:
+            raise FileNotFoundError(name)
+        handle = self.fs.open(self.path(f"{name}.{known[-1]:010d}"))
         try:
             return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(handle)).decode()
         finally:
@@ -97,7 +114,7 @@ class ItemStore:
         return json.loads(self.files.read(f"{self._at(name)}/meta.json"))
 
     def exists(self, name: str) -> bool:
-        return self.files.exists(f"{self._at(name)}/meta.json")
+        return self.files.written(f"{self._at(name)}/meta.json")
 
     def delete(self, name: str) -> None:
         """Deleting what isn't there is fine."""
@@ -133,12 +150,13 @@ def verified(log: DataFrame) -> DataFrame:
     return log.withColumn("checksum", F.when(F.col("checksum") == checksum(), F.col("checksum")).otherwise(broken))
 
 
-def replay(log: DataFrame, unique: bool = True) -> DataFrame:
+def replay(log: DataFrame, unique: bool = True, after: int = -1) -> DataFrame:
     """The rows that a log leaves: after the last clear, of each id the last change if that is an add.
 
     Without ``unique`` every add after the last clear and after its id's last removal stays.
+    Where nothing was cleared changes count if their number is above ``after``.
     """
-    cut = log.agg(F.coalesce(F.max(F.when(F.col("op") == "clear", F.col("seq"))), F.lit(-1)).alias("__cut"))
+    cut = log.agg(F.coalesce(F.max(F.when(F.col("op") == "clear", F.col("seq"))), F.lit(after)).alias("__cut"))
     live = log.crossJoin(F.broadcast(cut)).filter(F.col("seq") > F.col("__cut")).filter(F.col("op").isin("add", "remove")).drop("__cut")
     if unique:
         last = Window.partitionBy("id").orderBy(F.desc("seq"))
@@ -156,30 +174,43 @@ class SnapshotStore:
 
     def manifest(self) -> dict:
         at = f"{self.base}/manifest.json"
-        return json.loads(self.files.read(at)) if self.files.exists(at) else {"version": 1, "checkpoint_id": 0, "checkpoint_seq": -1, "snapshot": None, "documents": 0, "checkpoints": []}
+        return json.loads(self.files.read(at)) if self.files.written(at) else {"version": 1, "checkpoint_id": 0, "checkpoint_seq": -1, "snapshot": None, "documents": 0, "checkpoints": [], "covered": []}
+
+    def parts(self, manifest: dict | None = None) -> list[str]:
+        """The log's parts that the snapshot doesn't cover. A part that is being written isn't one yet."""
+        covered = set((self.manifest() if manifest is None else manifest)["covered"])
+        return [p for p in self.files.list(f"{self.base}/log") if not p.startswith(("_", ".")) and p not in covered]
 
-    def log(self) -> DataFrame:
-        parts = self.files.list(f"{self.base}/log")
+    def log(self, parts: list[str] | None = None) -> DataFrame:
+        parts = self.parts() if parts is None else parts
         if not parts:
             return self.spark.createDataFrame([], LOG)
         return self.spark.read.schema(LOG).parquet(*(f"{self.base}/log/{p}" for p in parts))
 
     def next_seq(self) -> int:
-        """From the log itself, so that no crash makes a number come twice."""
-        last = self.log().agg(F.max("seq")).first()[0]
-        return max(-1 if last is None else last, self.manifest()["checkpoint_seq"]) + 1
+        """From the parts' names, which hold each one's last number, so that no crash makes a number come twice."""
+        return max([self.manifest()["checkpoint_seq"], *(int(p.rpartition("_")[2]) for p in self.files.list(f"{self.base}/log") if not p.startswith(("_", ".")))]) + 1
 
     def _append(self, rows: DataFrame, batch: int | None = None) -> int:
-        """Number the rows and add them as one part of the log; a batch written again replaces itself."""
+        """Number the rows and add them as one part of the log; a batch written again replaces itself.
+
+        A part is written under another name and counts once it is renamed.
+        Appends at one time may take the same numbers: their order is open.
+        """
         part = f"part-{time.time_ns():020d}-{uuid.uuid4().hex}" if batch is None else f"batch-{batch:020d}"
-        at = f"{self.base}/log/{part}"
-        if batch is not None:
-            self.files.delete(at)
-        first = self.next_seq()
+        first, at, seen = self.next_seq(), f"{self.base}/log/_{part}-{uuid.uuid4().hex}", Observation()
         # positions within a partition on top of the partition's number: in order, no shuffle, gaps are fine
         numbered = rows.withColumn("seq", F.lit(first) + F.monotonically_increasing_id()).withColumn("ts", F.current_timestamp())
-        numbered.withColumn("checksum", checksum()).select("seq", "ts", "op", "id", "doc", "checkpoint_id", "checksum").write.option("compression", self.config.compression).mode("overwrite").parquet(at)
-        return self.spark.read.schema(LOG).parquet(at).count()
+        kept = numbered.withColumn("checksum", checksum()).select("seq", "ts", "op", "id", "doc", "checkpoint_id", "checksum")
+        kept.observe(seen, F.count("*").alias("n"), F.max("seq").alias("last")).write.option("compression", self.config.compression).mode("overwrite").parquet(at)
+        n, last = seen.get["n"], seen.get["last"]
+        if batch is not None:
+            for old in self.files.list(f"{self.base}/log"):
+                if old.startswith(f"{part}_"):
+                    self.files.delete(f"{self.base}/log/{old}")
+        if not self.files.fs.rename(self.files.path(at), self.files.path(f"{self.base}/log/{part}_{first if last is None else last:020d}")):
+            raise OSError(f"{part} could not be added to the log")
+        return n
 
     _NO_DOC = "cast(null as struct<content:string,embedding:array<float>,metadata:string>)"
 
@@ -193,37 +224,49 @@ class SnapshotStore:
     def log_clear(self) -> int:
         return self._append(self.spark.range(1).select(F.lit("clear").alias("op"), F.lit(None).cast("string").alias("id"), F.expr(self._NO_DOC).alias("doc"), F.lit(None).cast("bigint").alias("checkpoint_id")))
 
-    def pending(self) -> DataFrame:
-        return verified(tail(self.log(), self.manifest()["checkpoint_seq"]))
+    def pending(self, parts: list[str] | None = None) -> DataFrame:
+        return verified(self.log(parts))
 
     def needs_checkpoint(self) -> bool:
         return self.pending().count() >= self.config.checkpoint_ops or self.files.size(f"{self.base}/log") >= self.config.max_log_bytes
 
-    def snapshot(self) -> DataFrame | None:
-        name = self.manifest()["snapshot"]
+    def snapshot(self, manifest: dict | None = None) -> DataFrame | None:
+        name = (self.manifest() if manifest is None else manifest)["snapshot"]
         return self.spark.read.schema(DOCUMENT).parquet(f"{self.base}/{name}") if name else None
 
     def state(self) -> DataFrame:
         """Snapshot and tail as documents."""
-        held, pending = self.snapshot(), self.pending()
-        log = pending.select("seq", "op", "id", "doc")
+        manifest = self.manifest()
+        return self._state(manifest, self.parts(manifest))
+
+    def _state(self, manifest: dict, parts: list[str]) -> DataFrame:
+        held = self.snapshot(manifest)
+        log = self.pending(parts).select("seq", "op", "id", "doc")
         if held is not None:
+            # what the snapshot has comes before every change that it doesn't cover
             doc = F.struct("content", "embedding", "metadata").cast("struct<content:string,embedding:array<float>,metadata:string>")
-            log = log.unionByName(held.select(F.lit(self.manifest()["checkpoint_seq"]).cast("bigint").alias("seq"), F.lit("add").alias("op"), "id", doc.alias("doc")))
-        return replay(log).select("id", "doc.content", "doc.embedding", "doc.metadata")
+            log = log.unionByName(held.select(F.lit(-1).cast("bigint").alias("seq"), F.lit("add").alias("op"), "id", doc.alias("doc")))
+        return replay(log, after=-2).select("id", "doc.content", "doc.embedding", "doc.metadata")
 
     def checkpoint(self) -> dict:
-        """Write the state as a snapshot, point the manifest at it, drop what it covers."""
-        old, last = self.manifest(), self.next_seq() - 1
+        """Write the state as a snapshot, point the manifest at it, drop what it covers.
+
+        What it covers is the parts listed at the start: an append that comes
+        meanwhile stays in the log. The manifest names them, so that a crash
+        before they are deleted doesn't count them twice.
+        """
+        old = self.manifest()
+        parts = self.parts(old)
+        last = max([old["checkpoint_seq"], *(int(p.rpartition("_")[2]) for p in parts)])
         name = f"snapshots/{old['checkpoint_id'] + 1:05d}-{uuid.uuid4().hex}"
-        self.state().write.option("compression", self.config.compression).parquet(f"{self.base}/{name}")
-        count = self.spark.read.parquet(f"{self.base}/{name}").count()
+        seen = Observation()
+        self._state(old, parts).observe(seen, F.count("*").alias("n")).write.option("compression", self.config.compression).parquet(f"{self.base}/{name}")
         kept = [*old["checkpoints"], name]
         drop = kept[: -max(1, self.config.keep_checkpoints)]
-        parts = self.files.list(f"{self.base}/log")
-        new = {"version": 1, "checkpoint_id": old["checkpoint_id"] + 1, "checkpoint_seq": last, "snapshot": name, "documents": count, "checkpoints": [c for c in kept if c not in drop]}
+        left = set(old["covered"]) & set(self.files.list(f"{self.base}/log"))
+        new = {"version": 1, "checkpoint_id": old["checkpoint_id"] + 1, "checkpoint_seq": last, "snapshot": name, "documents": seen.get["n"], "checkpoints": [c for c in kept if c not in drop], "covered": sorted({*parts, *left})}
         self.files.write(f"{self.base}/manifest.json", json.dumps(new))
-        for part in parts:
+        for part in new["covered"]:
             self.files.delete(f"{self.base}/log/{part}")
         for snapshot in drop:
             self.files.delete(f"{self.base}/{snapshot}")

@@ -7,13 +7,12 @@ its record, and large ones are read by several tasks.
 
 from __future__ import annotations
 
-import glob
 import io
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -26,6 +25,13 @@ _TYPES = {"fvecs": ("<f4", "float"), "ivecs": ("<i4", "int")}
 _SPLIT = 64 << 20
 
 
+def _files(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, which executors open for themselves, and the path there."""
+    if path.startswith("file:"):
+        path = "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class _Part(InputPartition):
     def __init__(self, path: str, start: int, records: int, first: int):
         self.path, self.start, self.records, self.first = path, start, records, first
@@ -36,13 +42,20 @@ class _Reader(DataSourceReader):
         self.path, self.kind, self.split = path, kind, split
 
     def partitions(self) -> list[_Part]:
-        files = sorted(glob.glob(os.path.join(self.path, f"*.{self.kind}"))) if os.path.isdir(self.path) else [self.path]
+        store, at = _files(self.path)
+        info = store.get_file_info(at)
+        if info.type == fs.FileType.Directory:
+            files = sorted((f for f in store.get_file_info(fs.FileSelector(at)) if f.path.endswith(f".{self.kind}")), key=lambda f: f.path)
+        elif info.type == fs.FileType.File:
+            files = [info]
+        else:
+            raise FileNotFoundError(self.path)
         out, first = [], 0
-        for f in files:
-            size = os.path.getsize(f)
+        for file in files:
+            f, size = file.path, file.size
             if not size:
                 continue
-            with open(f, "rb") as h:
+            with store.open_input_file(f) as h:
                 dim = int(np.frombuffer(h.read(4), "<i4")[0])
             record = 4 * (dim + 1)
             if dim < 0 or size % record:
@@ -58,7 +71,7 @@ class _Reader(DataSourceReader):
         kind, _ = _TYPES[self.kind]
         if part is None:  # no files, or empty ones
             return
-        with open(part.path, "rb") as h:
+        with _files(self.path)[0].open_input_file(part.path) as h:
             h.seek(part.start)
             dim = int(np.frombuffer(h.read(4), "<i4")[0])
             h.seek(part.start)
@@ -72,19 +85,25 @@ class _Reader(DataSourceReader):
 
 class _Writer(DataSourceWriter):
     def __init__(self, path: str, kind: str, overwrite: bool):
-        self.path, self.kind, self.overwrite = path, kind, overwrite
+        self.path, self.kind = path, kind
+        if overwrite:  # asked for on the driver, before any task writes
+            store, at = _files(path)
+            if store.get_file_info(at).type == fs.FileType.Directory:
+                store.delete_dir_contents(at)
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        os.makedirs(self.path, exist_ok=True)
+        store, at = _files(self.path)
+        store.create_dir(at, recursive=True)
         context = TaskContext.get()
-        part = os.path.join(self.path, f"part-{context.partitionId():05d}.{self.kind}")
-        with open(f"{part}.{context.taskAttemptId()}.tmp", "wb") as h:
+        part = f"{at}/part-{context.partitionId():05d}.{self.kind}"
+        new = f"{part}.{context.taskAttemptId()}.tmp"
+        with store.open_output_stream(new) as h:
             for row in rows:
                 v = np.asarray(row["vector"], _TYPES[self.kind][0])
                 h.write(np.int32(len(v)).astype("<i4").tobytes() + v.tobytes())
-        os.replace(h.name, part)
+        store.move(new, part)
         return WriterCommitMessage()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from veclume.operators import maintenance
 from veclume.plans.config import BatchConfig
+from veclume.sources.scratch import written
 from veclume.sources.store import SnapshotStore
 
 
@@ -41,8 +43,8 @@ def batch_numbers(docs: DataFrame, order: str, config: BatchConfig = BatchConfig
     task sees them all.
     """
     spread = docs.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    # written once: partitions must be the same when they are counted and when they are numbered
-    spread = spread.checkpoint() if docs.sparkSession.sparkContext.getCheckpointDir() else spread.persist()
+    # written once: partitions must be the same when they are counted and when they are numbered, whatever is lost
+    spread = written(spread, "batches")
     counts = spread.groupBy("__p").count()
     before = counts.withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     at = F.row_number().over(Window.partitionBy("__p").orderBy(order)) + F.col("__before") - 1
@@ -76,9 +78,10 @@ def stream_into(stream: DataFrame, store: SnapshotStore, dim: int, checkpoint: s
     """Append a stream of documents to a store's log, a micro-batch at a time.
 
     A micro-batch is logged under its number, so one that is tried again after
-    a failure replaces what it had written.
+    a failure replaces what it had written. Progress counts from the start of
+    this run, its clock too.
     """
-    done = {"completed": 0, "failed": 0, "batches": 0}
+    done, began = {"completed": 0, "failed": 0, "batches": 0}, time.perf_counter()
 
     def write(batch: DataFrame, number: int) -> None:
         good, bad = ingest(batch, dim, config)
@@ -86,7 +89,7 @@ def stream_into(stream: DataFrame, store: SnapshotStore, dim: int, checkpoint: s
         done["failed"] += bad.count()
         done["batches"] += 1
         if on_progress:
-            on_progress(BatchProgress(done["completed"], done["failed"], done["batches"], config.total, 0.0))
+            on_progress(BatchProgress(done["completed"], done["failed"], done["batches"], config.total, (time.perf_counter() - began) * 1000))
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
