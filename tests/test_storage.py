@@ -167,6 +167,18 @@ def test_results_file(spark, tmp_path):
     assert r.qps == 10 and r.parameters == {"ef": "5"} and r.notes is None
 
 
+def test_results_are_written_as_arrays_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vecs, "_RUNS", 40)
+    runs = spark.range(0, 100, 1, 1).selectExpr("concat('l\\n\"]', id) as library", "cast(null as string) as notes", "cast(id as double) as qps", "map('ef', cast(id as string)) as parameters")
+    vecs.write_results(runs, f"file://{tmp_path}/many")
+    files = [json.loads(p.read_text()) for p in (tmp_path / "many").glob("part-*")]
+    assert sorted(map(len, files)) == [20, 40, 40]
+    back = vecs.read_results(spark, f"file://{tmp_path}/many")
+    assert sorted(map(str, back.select(*runs.columns).collect())) == sorted(map(str, runs.collect()))
+    vecs.write_results(runs.limit(0), f"file://{tmp_path}/none")
+    assert vecs.read_results(spark, f"file://{tmp_path}/none").count() == 0
+
+
 RESULTS = [("doc1", 0.9, '{"category":"A"}'), ("doc2", 0.5, '{"category":"B","n":1,"x":null}'), ("doc3", 0.3, None), ("doc4", float("nan"), "not json")]
 
 

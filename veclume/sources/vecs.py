@@ -23,6 +23,8 @@ from veclume.operators.search import knn_join
 
 _TYPES = {"fvecs": ("<f4", "float"), "ivecs": ("<i4", "int")}
 _SPLIT = 64 << 20
+#: Runs in one file of a report.
+_RUNS = 10_000
 
 
 def _files(path: str) -> tuple[fs.FileSystem, str]:
@@ -173,6 +175,21 @@ def ground_truth(queries: DataFrame, base: DataFrame, k: int = 100) -> DataFrame
     return knn_join(queries.select(F.col("id").alias("query_id"), "vector"), base, k, "l2", vector="vector")
 
 
+def write_results(results: DataFrame, path: str) -> None:
+    """Runs of a benchmark as a folder of JSON arrays, a batch of ``_RUNS`` runs at most in each file.
+
+    An array is parsed whole by the task that reads it, so it must not grow with the report.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _RUNS):
+                yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(batch.column(0).slice(lo, _RUNS).to_pylist()) + "]"])], names=["value"])
+
+    rows = results.select(F.to_json(F.struct("*")).alias("value"))
+    rows.mapInArrow(run, "value string").write.option("maxRecordsPerFile", 1).text(path)
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Runs of a benchmark from a JSON array."""
+    """Runs of a benchmark from a JSON array, or from a folder of files with an array each. A file is read by one task."""
     return spark.read.schema(RESULT_SCHEMA).option("multiLine", True).json(path)
